@@ -34,6 +34,12 @@ def op7_two_tier_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanwise.llm.bagminhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op10_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanwise.llm.mixing import mix
 
@@ -41,5 +47,5 @@ def op10_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_compression_bands, op5_nnpu_toxicity, op7_two_tier_tokens, op10_sainte_lague)
+    f.__name__: f for f in (op3_compression_bands, op5_nnpu_toxicity, op7_two_tier_tokens, op8_bagminhash, op10_sainte_lague)
 }
