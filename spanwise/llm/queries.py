@@ -22,6 +22,12 @@ def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanwise.llm.line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanwise.llm.toxicity import toxicity
 
@@ -47,5 +53,5 @@ def op10_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_compression_bands, op5_nnpu_toxicity, op7_two_tier_tokens, op8_bagminhash, op10_sainte_lague)
+    f.__name__: f for f in (op3_compression_bands, op4_segment_edit_join, op5_nnpu_toxicity, op7_two_tier_tokens, op8_bagminhash, op10_sainte_lague)
 }
