@@ -46,6 +46,12 @@ def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("key")
 
 
+def op9_bmw_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanwise.llm.decontamination import contaminated, items_of
+
+    return contaminated(table(spark, sf_dir, "documents"), items_of(table(spark, sf_dir, "benchmark")))
+
+
 def op10_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanwise.llm.mixing import mix
 
@@ -53,5 +59,5 @@ def op10_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_compression_bands, op4_segment_edit_join, op5_nnpu_toxicity, op7_two_tier_tokens, op8_bagminhash, op10_sainte_lague)
+    f.__name__: f for f in (op3_compression_bands, op4_segment_edit_join, op5_nnpu_toxicity, op7_two_tier_tokens, op8_bagminhash, op9_bmw_bm25, op10_sainte_lague)
 }
