@@ -16,6 +16,18 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lbl_nce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanwise.llm.language_model import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op2_hierarchical_eb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanwise.llm.quality_classifier import quality, with_sites
+
+    return quality(with_sites(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")), table(spark, sf_dir, "labels"))
+
+
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanwise.llm.quality_rules import quality_rules
 
@@ -34,6 +46,14 @@ def op5_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_max_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanwise.llm.html_extraction import doc_of_url, fit, html_extraction
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    weights = fit(pages.select("page_id", "html", doc_of_url(pages["url"]).alias("doc_id")), table(spark, sf_dir, "documents"))
+    return html_extraction(pages, weights)
+
+
 def op7_two_tier_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanwise.llm.token_counts import token_counts
 
@@ -59,5 +79,5 @@ def op10_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_compression_bands, op4_segment_edit_join, op5_nnpu_toxicity, op7_two_tier_tokens, op8_bagminhash, op9_bmw_bm25, op10_sainte_lague)
+    f.__name__: f for f in (op1_lbl_nce, op2_hierarchical_eb, op3_compression_bands, op4_segment_edit_join, op5_nnpu_toxicity, op6_max_subsequence, op7_two_tier_tokens, op8_bagminhash, op9_bmw_bm25, op10_sainte_lague)
 }
