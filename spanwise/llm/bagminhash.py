@@ -7,14 +7,14 @@ points. A register keeps the first point below its shingle's weight. Two registe
 the weighted Jaccard similarity sum(min) / sum(max). Points are drawn only up to a time that fills all registers, so
 a text of n shingles costs about n + m log m draws, in numpy.
 
-Classes. Texts with the same md5 are one node. Band buckets give candidates; in a bucket all are held against its
-*smallest* member b, so a bucket of any size gives as many pairs as members. Nothing is lost by that: for x and y of
-the bucket, with I = overlap with b, overlap(x, y) is at most min(I_x, I_y) plus what x and y share *beyond b*. If x
-isn't similar to b and y isn't smaller than b, the first part alone is too small for similarity. So a link that the
-star misses needs a common shingle occurrence beyond b. While a star has members of different components, those are
-grouped again by such shingles (of a text that must share at least k of its r, the first r - k + 1 in hash order
-suffice) and each group is held against its smallest member, until no new pair turns up. All links are verified on the
-whole texts. Components of the links are the classes.
+Classes. Texts with the same md5 are one node. Band buckets give candidates; in a bucket all are held against one
+member b, the one with most bucket mates, so a bucket of any size gives as many pairs as members. Nothing is lost by
+that: for x and y of the bucket, with I = overlap with b, overlap(x, y) is at most min(I_x, I_y) plus what x and y
+share *beyond b*. If x isn't similar to b and y isn't smaller than b, the first part alone is too small for similarity.
+So a link that the star misses needs a common shingle beyond b (or a y smaller than b, which is marked by a shingle of
+its own). While a star has members of different components, those are grouped again by such shingles (of a text that
+must share at least k of its r, the first r - k + 1 in hash order suffice), and each group is held against one member,
+until no new pair turns up. All links are verified on the whole texts. Components of the links are the classes.
 
 Result per row: doc_id, n_shingles, class_id (least doc_id of the class), class_rows, is_kept (one row of the class).
 Defined cases: a text of 1 to 4 words is one shingle of all of them; a null text or one without words is in no group:
@@ -34,7 +34,11 @@ from pyspark.sql import functions as F
 from spanwise.llm.common import pair_components, stored, words
 
 SHINGLE, SIMILARITY = 5, 0.8
-ROWS, BANDS = 4, 20
+ROWS, BANDS = 8, 44
+#: Stands for "may be similar to a smaller text without sharing anything beyond the star's centre".
+SMALLER = 0
+#: Groups of so many texts are compared pair by pair: buckets, and the groups after them, which are fewer.
+SMALL, LATER = 24, 64
 
 _U = np.uint64
 #: The multipliers of the splitmix64 finaliser and its increment.
@@ -145,55 +149,79 @@ def signatures(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFra
 
 
 def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """pairs (a, b), b not smaller: with n_b, linked and beyond, the shingles of b that a further link must share."""
+    """pairs (a, b, least), no text of the star a having fewer than least shingles: with linked, and the shingles that a further link of b must share."""
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, last, left = WordHash(), None, None
         share = similarity / (1 + similarity)
         for batch in batches:
             out = []
-            for a, b, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"], strict=True):
+            for a, b, least, ta, tb in zip(batch["a"], batch["b"], batch["least"], batch["ta"], batch["tb"], strict=True):
                 if a != last:
                     last, left = a, shingles(ta, known)
                 right = shingles(tb, known)
                 na, nb = int(left[1].sum()), int(right[1].sum())
                 both, beyond = overlap(left, right)
                 linked = both >= similarity * (na + nb - both) - 1e-9
+                must = int(np.ceil(share * (least + nb) - both - 1e-9))
                 if not linked:
-                    least = int(np.ceil(share * (na + nb) - both - 1e-9))
-                    beyond = beyond[: max(0, len(beyond) - max(1, least) + 1)]
-                out.append((a, b, nb, linked, np.unique(beyond).astype(np.int64)))
-            yield pd.DataFrame(out, columns=["a", "b", "n_b", "linked", "beyond"])
+                    beyond = beyond[: max(0, len(beyond) - max(1, must) + 1)]
+                keys = np.unique(beyond).astype(np.int64)
+                out.append((a, b, linked, np.append(keys, SMALLER) if nb < na or (must <= 0 and not linked) else keys))
+            yield pd.DataFrame(out, columns=["a", "b", "linked", "beyond"])
 
     right, left = texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    return both.mapInPandas(held, "a long, b long, n_b long, linked boolean, beyond array<long>")
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "least", "ta", "tb")
+    return both.mapInPandas(held, "a long, b long, linked boolean, beyond array<long>")
 
 
-def near_classes(nodes: DataFrame, texts_of, similarity: float, max_levels: int = 40) -> DataFrame:
+def near_classes(nodes: DataFrame, texts_of, similarity: float) -> DataFrame:
     """nodes (node, n, bands): rows (node, class_id) for all nodes that have a link. texts_of(nodes): (node, text)."""
     buckets = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    lead = buckets.groupBy("bucket").agg(F.min(F.struct("n", "node")).alias("lead"), F.count("*").alias("k")).where("k > 1")
-    asked = buckets.join(lead.select("bucket", F.col("lead.node").alias("a")), "bucket").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    asked = stored(asked, "pairs")
-    members = asked.select(F.col("a").alias("node")).union(asked.select(F.col("b").alias("node"))).distinct()
-    texts = stored(texts_of(members), "texts")
-    history, comps = None, None
-    for _ in range(max_levels):
-        found = stored(verify(asked, texts, similarity), "verified")
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
+    live = stored(buckets.join(sizes, "bucket"), "buckets")
+    members = stored(live.groupBy("node").agg(F.max("n").alias("n"), F.sum("k").alias("mates")), "members")
+    texts = stored(texts_of(members.select("node")), "texts")
+    facts = members.select(F.col("node").alias("b"), "n", "mates")
+    groups, key, history, comps = live.select("bucket", "k", F.col("node").alias("b"), F.col("node").alias("c")), ["bucket"], None, None
+    size, room = SMALL, 4 * members.count()
+    while True:
+        # Small groups: all their pairs at once, which ends them.
+        small, large = groups.where(F.col("k") <= size), groups.where(F.col("k") > size)
+        other = small.select(*key, F.col("b").alias("a"), F.col("c").alias("ca"))
+        pairs = small.join(other, key).where("a < b and c <> ca").select("a", "b").distinct()
+        # Large groups: a star around the member with the most mates. Its members rank below it, so stars end.
+        facts_of = large.join(facts, "b")
+        centre = facts_of.groupBy(*key).agg(F.max(F.struct("mates", -F.col("b"))).alias("top"), F.min("n").alias("least"))
+        centre = centre.select(*key, (-F.col("top.col2")).alias("a"), "least")
+        stars = stored(large.join(centre, key).where("a <> b").groupBy("a", "b").agg(F.min("least").alias("least")), "stars")
+        asked = stars.select("a", "b", "least").union(pairs.select("a", "b", F.lit(0).cast("long")))
+        asked = asked.groupBy("a", "b").agg(F.max("least").alias("least"))
+        if history is not None:
+            asked = asked.join(history.select("a", "b"), ["a", "b"], "left_anti")
+        found = stored(verify(stored(asked, "pairs"), texts, similarity), "verified")
         history = found if history is None else history.unionByName(found)
-        comps = pair_components(history.where("linked").select("a", "b"))
-        of = comps.select(F.col("node").alias("b"), F.col("class_id").alias("c"))
-        stars = history.join(of, "b", "left").withColumn("c", F.coalesce("c", "b"))
-        # A star all of whose members are in one component has nothing more to find.
-        mixed = stars.groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("a")
-        rest = stars.join(mixed, "a").select("a", "b", "n_b", "c", F.explode("beyond").alias("z"))
-        groups = rest.groupBy("a", "z").agg(F.min(F.struct("n_b", "b")).alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-        again = rest.join(groups.select("a", "z", F.col("lead.b").alias("a2")), ["a", "z"]).where("a2 <> b").select(F.col("a2").alias("a"), "b").distinct()
-        asked = stored(again.join(history.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if asked.isEmpty():
+        links = found.where("linked").select("a", "b")
+        if comps is not None:
+            # Links within a component change nothing.
+            of = comps.select(F.col("node").alias("a"), F.col("class_id").alias("ca"))
+            links = links.join(of, "a", "left").join(of.toDF("b", "cb"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+            links = stored(links, "links")
+        if comps is None or not links.isEmpty():
+            comps = stored(pair_components(history.where("linked").select("a", "b") if comps is None else comps.select(F.col("node").alias("a"), F.col("class_id").alias("b")).union(links)), "components")
+        if stars.isEmpty():
             return comps
-    raise RuntimeError(f"stars were not settled after {max_levels} levels")
+        # A star all of whose members are in one component has nothing more to find.
+        of = comps.select(F.col("node").alias("b"), F.col("class_id").alias("c"))
+        known = stars.select("a", "b").join(history, ["a", "b"]).join(of, "b", "left").withColumn("c", F.coalesce("c", "b"))
+        mixed = known.groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("a")
+        # Dealt out by member before the shingles are told apart: a large star is spread over all tasks.
+        rest = known.join(mixed, "a").repartition("a", "b").select(F.col("a").alias("star"), "b", "c", F.explode("beyond").alias("z"))
+        split = rest.groupBy("star", "z").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("star", "z", "k")
+        groups, key = stored(rest.join(split, ["star", "z"]), "groups"), ["star", "z"]
+        # If all groups together have a few pairs for each text, none is large.
+        n_pairs = groups.agg(F.sum((F.col("k") - 1) / 2)).first()[0] or 0
+        size = (1 << 62) if n_pairs <= room else LATER
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS) -> DataFrame:

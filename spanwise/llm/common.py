@@ -59,6 +59,7 @@ def pair_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = stored(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges"
     )
+    before = None
     for _ in range(max_rounds):
         # Large star: every neighbour above u is tied to the least of u and its neighbours.
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -73,11 +74,11 @@ def pair_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        after = stored(small, "edges")
-        same = after.join(edges, ["u", "v"], "left_anti").isEmpty() and edges.join(after, ["u", "v"], "left_anti").isEmpty()
-        edges = after
-        if same:
+        edges = stored(small, "edges")
+        state = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
+        if state == before:
             break
+        before = state
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     node = edges.select(F.col("u").alias("node"), F.col("v").alias("class_id"))
