@@ -39,6 +39,8 @@ ROWS, BANDS = 8, 44
 SMALLER = 0
 #: Groups of so many texts are compared pair by pair: buckets, and the groups after them, which are fewer.
 SMALL, LATER = 24, 64
+#: Stars of up to so many texts are handled in one task.
+STAR = 4096
 
 _U = np.uint64
 #: The multipliers of the splitmix64 finaliser and its increment.
@@ -149,30 +151,54 @@ def signatures(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFra
 
 
 def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """pairs (a, b, least), no text of the star a having fewer than least shingles: with linked, and the shingles that a further link of b must share."""
+    """pairs (a, b, least, k) with linked and, for the k texts of a star, the shingles that a further link of b must share.
+
+    No text of the star a has fewer than ``least`` shingles. A star comes together in one task up to STAR texts, and a
+    shingle that only one of its texts has is left out there; of a larger star, each task gives all. k is 0 for a lone pair.
+    """
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, last, left = WordHash(), None, None
+        known, last, left, star, out = WordHash(), None, None, [], []
         share = similarity / (1 + similarity)
+
+        def closed() -> None:
+            """Give out the star that has gathered."""
+            if star and len(star) == star[0][5]:
+                keys, n = np.unique(np.concatenate([x[3] for x in star]), return_counts=True)
+                alone = keys[n == 1]
+                star[:] = [(*x[:3], np.setdiff1d(x[3], alone, assume_unique=True), *x[4:]) for x in star]
+            out.extend((a, b, linked, np.append(keys, SMALLER) if smaller else keys, k) for a, b, linked, keys, smaller, k in star)
+            star.clear()
+
         for batch in batches:
-            out = []
-            for a, b, least, ta, tb in zip(batch["a"], batch["b"], batch["least"], batch["ta"], batch["tb"], strict=True):
+            for a, b, least, k, ta, tb in zip(batch["a"], batch["b"], batch["least"], batch["k"], batch["ta"], batch["tb"], strict=True):
                 if a != last:
+                    closed()
                     last, left = a, shingles(ta, known)
                 right = shingles(tb, known)
                 na, nb = int(left[1].sum()), int(right[1].sum())
                 both, beyond = overlap(left, right)
                 linked = both >= similarity * (na + nb - both) - 1e-9
+                if not k:
+                    out.append((a, b, linked, np.empty(0, np.int64), 0))
+                    continue
                 must = int(np.ceil(share * (least + nb) - both - 1e-9))
                 if not linked:
                     beyond = beyond[: max(0, len(beyond) - max(1, must) + 1)]
-                keys = np.unique(beyond).astype(np.int64)
-                out.append((a, b, linked, np.append(keys, SMALLER) if nb < na or (must <= 0 and not linked) else keys))
-            yield pd.DataFrame(out, columns=["a", "b", "linked", "beyond"])
+                star.append((a, b, linked, np.unique(beyond).astype(np.int64), nb < na or (must <= 0 and not linked), k))
+                if len(star) > STAR:
+                    closed()
+            yield pd.DataFrame(out, columns=["a", "b", "linked", "beyond", "k"])
+            out = []
+        closed()
+        yield pd.DataFrame(out, columns=["a", "b", "linked", "beyond", "k"])
 
     right, left = texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "least", "ta", "tb")
-    return both.mapInPandas(held, "a long, b long, linked boolean, beyond array<long>")
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "least", "k", "ta", "tb")
+    # Lone pairs are dealt out evenly, a star by its centre; a larger one in parts.
+    part = F.when(F.col("k") == 0, F.xxhash64("b")).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / STAR)))
+    both = both.withColumn("part", part).repartition("a", "part").sortWithinPartitions("k", "a").drop("part")
+    return both.mapInPandas(held, "a long, b long, linked boolean, beyond array<long>, k long")
 
 
 def near_classes(nodes: DataFrame, texts_of, similarity: float) -> DataFrame:
@@ -184,7 +210,7 @@ def near_classes(nodes: DataFrame, texts_of, similarity: float) -> DataFrame:
     texts = stored(texts_of(members.select("node")), "texts")
     facts = members.select(F.col("node").alias("b"), "n", "mates")
     groups, key, history, comps = live.select("bucket", "k", F.col("node").alias("b"), F.col("node").alias("c")), ["bucket"], None, None
-    size, room = SMALL, 4 * members.count()
+    size, room = SMALL, 16 * members.count()
     while True:
         # Small groups: all their pairs at once, which ends them.
         small, large = groups.where(F.col("k") <= size), groups.where(F.col("k") > size)
@@ -194,11 +220,13 @@ def near_classes(nodes: DataFrame, texts_of, similarity: float) -> DataFrame:
         facts_of = large.join(facts, "b")
         centre = facts_of.groupBy(*key).agg(F.max(F.struct("mates", -F.col("b"))).alias("top"), F.min("n").alias("least"))
         centre = centre.select(*key, (-F.col("top.col2")).alias("a"), "least")
-        stars = stored(large.join(centre, key).where("a <> b").groupBy("a", "b").agg(F.min("least").alias("least")), "stars")
-        asked = stars.select("a", "b", "least").union(pairs.select("a", "b", F.lit(0).cast("long")))
-        asked = asked.groupBy("a", "b").agg(F.max("least").alias("least"))
+        stars = large.join(centre, key).where("a <> b").groupBy("a", "b").agg(F.min("least").alias("least"))
+        stars = stored(stars, "stars")
+        size_of = stars.groupBy("a").agg(F.count("*").alias("k"), F.min("least").alias("least"))
+        asked = pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti")
         if history is not None:
             asked = asked.join(history.select("a", "b"), ["a", "b"], "left_anti")
+        asked = asked.select("a", "b", F.lit(0).cast("long").alias("least"), F.lit(0).cast("long").alias("k")).unionByName(stars.select("a", "b").join(size_of, "a"))
         found = stored(verify(stored(asked, "pairs"), texts, similarity), "verified")
         history = found if history is None else history.unionByName(found)
         links = found.where("linked").select("a", "b")
@@ -213,7 +241,7 @@ def near_classes(nodes: DataFrame, texts_of, similarity: float) -> DataFrame:
             return comps
         # A star all of whose members are in one component has nothing more to find.
         of = comps.select(F.col("node").alias("b"), F.col("class_id").alias("c"))
-        known = stars.select("a", "b").join(history, ["a", "b"]).join(of, "b", "left").withColumn("c", F.coalesce("c", "b"))
+        known = found.where("k > 0").drop("k").join(of, "b", "left").withColumn("c", F.coalesce("c", "b"))
         mixed = known.groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("a")
         # Dealt out by member before the shingles are told apart: a large star is spread over all tasks.
         rest = known.join(mixed, "a").repartition("a", "b").select(F.col("a").alias("star"), "b", "c", F.explode("beyond").alias("z"))

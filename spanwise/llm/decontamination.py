@@ -6,7 +6,7 @@ counted once in the query, so the sum over an item's terms is its own score. A p
 whose BM25 score reaches ``share`` of the item's own. For one common bar, contributions are divided by the item's own
 score: an item is above threshold if its scaled score reaches ``share``. WAND sorts the passage's term cursors by item,
 finds the pivot where their bounds add up to the bar, checks the block bounds there, and skips items that can't
-reach it. Before that, a running sum of the terms' greatest bounds over the text rules out most passages.
+reach it. Before that, sums by item of what the less common terms can add rule out most passages.
 
 Passages are windows of ``2 * step`` words at every multiple of ``step``, where step is at least the longest item's
 number of words: any copy of an item lies wholly in some passage. An item found in a passage is verified on the passage:
@@ -23,6 +23,7 @@ equal items are each reported; documents alike in doc_id give one row per item.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -35,12 +36,34 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 SHINGLE, OVERLAP, SHARE = 5, 0.8, 0.5
 STEP, BLOCK, MAX_TERMS = 64, 16, 2_000_000
+SPARE, SAMPLE = 0.6, 1000
 STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def _stripped(words: list[bytes]) -> list[bytes]:
+    return [w for w in (x.strip(STRIP) for x in words) if w]
+
+
 def terms(text: str | None) -> list[bytes]:
     """Words in lower case without ASCII punctuation at their ends."""
-    return [w for w in (x.strip(STRIP) for x in text.lower().encode().split()) if w] if text else []
+    return _stripped(text.lower().encode().split()) if text else []
+
+
+class Codes(dict):
+    """Word as it stands to the number of its term, or of none; kept for a bounded number of words."""
+
+    def __init__(self, number: dict[bytes, int]):
+        super().__init__()
+        self.number = number
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        n = self[word] = self.number.get(word.strip(STRIP), len(self.number))
+        return n
+
+    def __reduce__(self):
+        return Codes, (self.number,)
 
 
 def grams(words: list, k: int = SHINGLE) -> set:
@@ -51,13 +74,13 @@ def grams(words: list, k: int = SHINGLE) -> set:
 class Index:
     """Postings of one shard of items (item_id, question, answer)."""
 
-    def __init__(self, items: list[tuple], share: float = SHARE, step: int = STEP, block: int = BLOCK):
+    def __init__(self, items: list[tuple], share: float = SHARE, step: int = STEP, block: int = BLOCK, usual: dict[bytes, int] | None = None):
         self.ids = [i for i, _, _ in items]
         self.question = [grams(terms(q)) for _, q, _ in items]
         self.answer = [set(terms(a)) for _, _, a in items]
         self.share, self.block = share, block
         whole = [terms(q) + terms(a) for _, q, a in items]
-        self.step = max([step, *map(len, whole)])
+        self.step = max([step, *(len(f"{q or ''} {a or ''}".split()) for _, q, a in items)])
         n_items, mean_len = len(items), sum(map(len, whole)) / len(items)
         df = Counter(t for w in whole for t in set(w))
         posts: dict[bytes, list[tuple[int, float]]] = {}
@@ -67,10 +90,43 @@ class Index:
             for t, v in got.items():
                 posts.setdefault(t, []).append((n, v / own))
         self.number = {t: k for k, t in enumerate(posts)}
+        self.codes = Codes(self.number)
         self.item = [[n for n, _ in p] for p in posts.values()]
         self.gain = [[g for _, g in p] for p in posts.values()]
         self.bound = np.array([max(g) for g in self.gain] + [0.0])
         self.blocks = [[max(g[i : i + block]) for i in range(0, len(g), block)] for g in self.gain]
+        # What rules passages out. An item's commonest terms, up to SPARE of the bar, may all be there; the rest of the
+        # bar must come from its other terms, so their parts of that rest must add up to 1 or more, item by item. How
+        # common terms are in the corpus is only an estimate (``usual``); any order gives the same results.
+        usual, rows = usual or {}, []
+        for n, w in enumerate(whole):
+            gains = {self.number[t]: (-usual.get(t, 0), -df[t], len(t), t) for t in set(w)}
+            mine = {k: self.gain[k][bisect.bisect_left(self.item[k], n)] for k in gains}
+            spare, order = share * SPARE, sorted(gains, key=gains.get)
+            free = 0
+            while free < len(order) and mine[order[free]] <= spare:
+                spare -= mine[order[free]]
+                free += 1
+            rows += [(k, n, mine[k] / (share * (1 - SPARE) + spare)) for k in order[free:]]
+        rows.sort()
+        term = np.array([k for k, _, _ in rows], np.int64)
+        self.part_item, self.part = np.array([n for _, n, _ in rows], np.int64), np.array([x for _, _, x in rows])
+        self.part_at = np.searchsorted(term, np.arange(len(posts) + 2))
+
+    def passages(self, t: np.ndarray) -> np.ndarray:
+        """Numbers of the passages of a text, given as its terms, that may hold an item."""
+        n = self.part_at[t + 1] - self.part_at[t]
+        total = int(n.sum())
+        if not total:
+            return np.empty(0, np.int64)
+        at = np.repeat(self.part_at[t] - np.cumsum(n) + n, n) + np.arange(total)
+        key = np.repeat(np.arange(len(t)) // self.step, n) * len(self.ids) + self.part_item[at]
+        key, which = np.unique(key, return_inverse=True)
+        here = np.bincount(which, self.part[at])
+        # A passage is two steps of words: its own and the next.
+        after = np.minimum(np.searchsorted(key, key + len(self.ids)), len(key) - 1)
+        both = here + np.where(key[after] == key + len(self.ids), here[after], 0.0)
+        return np.unique(key[both >= 1 - 1e-6] // len(self.ids))
 
     def search(self, query: list[int]) -> list[tuple[int, float]]:
         """(item, score) of all items whose score for these distinct terms reaches the share. Block-max WAND."""
@@ -120,24 +176,23 @@ class Index:
 
     def hits(self, text: str | None, overlap: float = OVERLAP) -> dict[int, tuple[float, float]]:
         """item -> (score, overlap) of the items that some passage of the text holds."""
-        w = terms(text)
+        if not text:
+            return {}
+        w = text.lower().encode().split()
         if not w:
             return {}
         none = len(self.number)
-        get = self.number.get
-        t = np.fromiter((get(x, none) for x in w), np.int64, len(w))
-        total = np.concatenate([[0.0], np.cumsum(self.bound[t])])
+        t = np.fromiter(map(self.codes.__getitem__, w), np.int64, len(w))
         starts = np.arange(0, max(1, len(w) - self.step), self.step)
         ends = np.minimum(starts + 2 * self.step, len(w))
         out: dict[int, tuple[float, float]] = {}
-        for k in np.flatnonzero(total[ends] - total[starts] >= self.share - 1e-6):
+        for k in np.unique(np.minimum(self.passages(t), len(starts) - 1)):
             a, b = int(starts[k]), int(ends[k])
             q = np.unique(t[a:b])
-            q = q[q < none]
             if self.bound[q].sum() < self.share - 1e-6:
                 continue
+            part, q = _stripped(w[a:b]), q[q < none]
             for item, score in self.search(q.tolist()):
-                part = w[a:b]
                 there = self.question[item]
                 shared = len(there & grams(part, min(SHINGLE, *map(len, there)))) / len(there) if there else 0.0
                 answer = self.answer[item]
@@ -176,10 +231,25 @@ def hits_column(index, overlap: float):
     return hits(F.col("text"))
 
 
+def usual_terms(docs: DataFrame, n_docs: int = SAMPLE) -> dict[bytes, int]:
+    """How many of about n_docs sampled texts have each term, where two or more have: what is tried first, not what is found."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = Counter()
+        for b in batches:
+            for t in b["text"]:
+                seen.update(set(terms(t)))
+        yield pd.DataFrame({"t": [t.decode() for t in seen], "n": list(seen.values())})
+
+    some = docs.select("text").where(F.rand(3) < n_docs / max(1, docs.count()))
+    top = some.mapInPandas(count, "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "t").limit(50_000)
+    return {r.t.encode(): r.n for r in top.collect()}
+
+
 def contaminated(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, **how) -> DataFrame:
     """The rows named above for docs (doc_id, text) and items (item_id, question, answer)."""
     spark, out = docs.sparkSession, None
-    for index in indexes(items, **how):
+    for index in indexes(items, usual=usual_terms(docs), **how):
         hits = hits_column(spark.sparkContext.broadcast(index), overlap)
         one = docs.select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.*")
         out = one if out is None else out.unionByName(one)
@@ -197,7 +267,7 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, **how) -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
     spark, keep = docs.sparkSession, None
-    for index in indexes(items, **how):
+    for index in indexes(items, usual=usual_terms(docs), **how):
         clean = F.size(hits_column(spark.sparkContext.broadcast(index), overlap)) == 0
         keep = clean if keep is None else keep & clean
     return docs if keep is None else docs.where(keep)

@@ -50,3 +50,25 @@ def test_empty(spark, docs_of):
     some = D.items_of(spark.createDataFrame([(1, "one two\nthree four \n"), (2, "five"), (3, None)], "item_id long, text string"))
     assert [(r.question, r.answer) for r in some.orderBy("item_id").collect()] == [("one two", "three four"), ("five", ""), (None, None)]
     assert D.contaminated(docs_of([]), some).count() == 0
+
+
+def test_hits_equal_all_windows():
+    rng = random.Random(7)
+    its = items(rng, 40)
+    ix = D.Index(its, share=0.5, step=32, usual={b"w1": 9, b"w2": 5})
+    for _ in range(60):
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(1, 300))]
+        for _ in range(rng.randrange(0, 3)):
+            _, q, a = its[rng.randrange(40)]
+            p = rng.randrange(len(words) + 1)
+            words[p:p] = [w for w in f"{q} {a}".split() if rng.random() < 0.93]
+        want = {}
+        for s in range(0, max(1, len(words) - ix.step), ix.step):
+            part = D.terms(" ".join(words[s : s + 2 * ix.step]))
+            for n in range(40):
+                score = sum(g for t in set(part) if t in ix.number for m, g in zip(ix.item[ix.number[t]], ix.gain[ix.number[t]], strict=True) if m == n)
+                there = ix.question[n]
+                shared = len(there & D.grams(part, min(5, *map(len, there)))) / len(there)
+                if score >= 0.5 - 1e-9 and shared >= 0.8 - 1e-9 and len(ix.answer[n] & set(part)) >= 0.8 * len(ix.answer[n]) - 1e-9:
+                    want[n] = max(want.get(n, 0), round(score, 9))
+        assert {n: round(s, 9) for n, (s, _) in ix.hits(" ".join(words)).items()} == want
