@@ -89,6 +89,12 @@ def graph_components(edges: DataFrame, a: str, b: str, key: Sequence[str] = (),
     return nodes.join(found, [*key, "node"], "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the shared folder, for tables that many branches read."""
+    _ensure_checkpoints(df)
+    return df.checkpoint()
+
+
 def _ensure_checkpoints(df: DataFrame) -> None:
     """Checkpoints go where the session says; a folder is set only where there is none, as in tests."""
     sc = df.sparkSession.sparkContext
