@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanwise.functions.scalar import decision
 from spanwise.operators.labels import Registry, resolve
 from spanwise.operators.models import Bank, point_scores
-from spanwise.operators.relational import graph_components
+from spanwise.operators.relational import cut, graph_components
 from spanwise.operators.topology import part
 
 #: Score from which an entity, or a corner point, counts; share of the largest cell below which a face is a splinter; nearness of positions.
@@ -17,22 +17,16 @@ THRESHOLD, CORNER, SPLINTER, NEAR = 0.5, 0.35, 0.05, 0.12
 
 def candidates(registry: Registry, bank: Bank, curve_features: DataFrame, face_features: DataFrame, graph: DataFrame) -> DataFrame:
     """(label_id, section_id, kind, name, ord, score) of all curves and faces for all labels; splinters and cells with sub-cells are out."""
-    parts = []
-    for row in registry.labels:
-        short = row[0].rsplit(".", 1)[-1]
-        if row[2] == "face":
-            face = part(graph, "face").select("section_id", "face_id", "area", "parent", "is_sub")
-            parents = face.where("is_sub").select("section_id", F.col("parent").alias("face_id")).distinct()
-            largest = face.where("not is_sub").groupBy("section_id").agg(F.max("area").alias("most"))
-            keep = face.join(parents, ["section_id", "face_id"], "left_anti").join(largest, "section_id").where(F.col("area") >= SPLINTER * F.col("most")).select("section_id", "face_id")
-            df = face_features.join(keep, ["section_id", "face_id"]).select("section_id", F.col("face_id").alias("name"), "ord", bank.face_score().alias("score"))
-        else:
-            df = curve_features.select("section_id", "name", "ord", bank.curve_score(short).alias("score"))
-        parts.append(df.select(F.lit(row[0]).alias("label_id"), "section_id", F.lit(row[2]).alias("kind"), "name", "ord", "score"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    label = lambda row: row[0].rsplit(".", 1)[-1]
+    of = lambda kind, score: F.explode(F.array(*(F.struct(F.lit(row[0]).alias("label_id"), score(row).alias("score")) for row in registry.labels if row[2] == kind)))
+    face = part(graph, "face").select("section_id", "face_id", "area", "parent", "is_sub")
+    parents = face.where("is_sub").select("section_id", F.col("parent").alias("face_id")).distinct()
+    largest = face.where("not is_sub").groupBy("section_id").agg(F.max("area").alias("most"))
+    keep = face.join(parents, ["section_id", "face_id"], "left_anti").join(largest, "section_id").where(F.col("area") >= SPLINTER * F.col("most")).select("section_id", "face_id")
+    faces = face_features.join(keep, ["section_id", "face_id"]).select("section_id", F.col("face_id").alias("name"), "ord", of("face", lambda row: bank.face_score()).alias("s"))
+    lines = curve_features.select("section_id", "name", "ord", of("curve", lambda row: bank.curve_score(label(row))).alias("s"))
+    both = faces.withColumn("kind", F.lit("face")).unionByName(lines.withColumn("kind", F.lit("curve")))
+    return both.select("s.label_id", "section_id", "kind", "name", "ord", "s.score")
 
 
 def instances(chosen: DataFrame, curves: DataFrame, graph: DataFrame) -> DataFrame:
@@ -72,11 +66,13 @@ def map_queries(queries: DataFrame, sections: DataFrame, points: DataFrame, curv
     """
     registry = registry or Registry()
     asked = queries if "label_id" in queries.columns else resolve(queries, registry, compat)
+    sections, points, curves, graph = (cut(x) for x in (sections, points, curves, graph))
     have = sections.select("section_id", "section_name", F.greatest("width", F.lit(1e-9)).alias("W"), F.greatest("height", F.lit(1e-9)).alias("H"))
     asked = asked.join(have, "section_id", "left").withColumn("entity_type", registry.entity_type(F.col("label_id")))
+    asked = cut(asked)
     scored = candidates(registry, bank, curve_features, face_features, graph)
     every = asked.where("label_id is not null and section_name is not null").join(scored, ["section_id", "label_id"])
-    every = every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")))
+    every = cut(every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ord"))))
     key = ["query_id", "section_id"]
     chosen = every.where(F.col("score") >= THRESHOLD).select(*key, "kind", "name", "ord", "score")
     # Fillets are often drawn as sharp corners: without one, corner points answer.
@@ -85,7 +81,7 @@ def map_queries(queries: DataFrame, sections: DataFrame, points: DataFrame, curv
     corner = lacking.select(*key).join(point_scores(graph, curves), "section_id").where(F.col("score") >= CORNER).join(at, ["section_id", "name"])
     none = F.array().cast("array<string>")
     by_point = corner.select(*key, F.lit("point").alias("kind"), F.col("name").alias("iid"), F.array("name").alias("names"), F.array("name").alias("points"), none.alias("boundary"), "score", "cu", "cv")
-    inst = instances(chosen, curves, graph).unionByName(by_point).join(asked.select("query_id", "ordinal", "count", "position", "W", "H"), "query_id")
+    inst = cut(instances(chosen, curves, graph).unionByName(by_point)).join(asked.select("query_id", "ordinal", "count", "position", "W", "H"), "query_id")
     q = Window.partitionBy("query_id")
     u, v = F.col("cu") / F.col("W"), F.col("cv") / F.col("H")
     crit = F.when(F.col("position") == "center", F.abs(v - 0.5) + 0.3 * F.abs(u - 0.5)).when(F.col("position") == "top", -v).when(F.col("position") == "bottom", v).when(F.col("position") == "left", u).when(F.col("position") == "right", -u)
@@ -94,6 +90,7 @@ def map_queries(queries: DataFrame, sections: DataFrame, points: DataFrame, curv
     inst = inst.withColumns({"best": F.min("crit").over(q), "place": F.row_number().over(q.orderBy("crit", *spatial))})
     inst = inst.where("position is null or (count is not null and place <= count) or (count is null and crit - best <= " + str(NEAR) + ")")
     inst = inst.withColumns({"at": F.row_number().over(q.orderBy(*spatial)), "n_place": F.count("*").over(q)})
+    inst = cut(inst)
     late = inst.groupBy("query_id").agg(F.max((F.col("ordinal") > F.col("n_place")).cast("int")).alias("out_of_range"), F.max("n_place").alias("n_place"))
     inst = inst.where("ordinal is null or at = ordinal")
     inst = inst.withColumns({"n": F.count("*").over(q), "by_score": F.row_number().over(q.orderBy(F.desc("score"), "at"))})
