@@ -30,6 +30,17 @@ def fold(doc_id: Column, k: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % k
 
 
+def some_of(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
+    """At most n rows of df, which has ``total``, in the hash order of a key column.
+
+    Rows are first thinned by hash to about 2 n, so a task doesn't send its own first n rows to the driver.
+    """
+    h = F.xxhash64(F.col(key), F.lit(11))
+    share = min(1.0, 2 * n / max(1, total))
+    thin = df if share == 1.0 else df.where(F.pmod(h, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    return thin.orderBy(h, key).limit(n)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share. It is set here only where the session has none, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

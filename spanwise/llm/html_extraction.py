@@ -1,7 +1,7 @@
 """HTML extraction by the maximum-scoring subsequence.
 
 A page is a sequence of words and tags. A word scores a positive weight and a tag a negative one, by its name; a word
-in an element that isn't content (menus, forms, adverts, ...) scores negative. The best contiguous region is found
+or tag in an element that isn't content (menus, forms, adverts, ...) costs next to nothing, as it is left out anyway. The best contiguous region is found
 by one linear scan, grown to the article or main element that holds it, if there is one; what it holds outside such
 elements is the text.
 
@@ -58,7 +58,7 @@ def marks(attributes: str) -> tuple[set[str], set[str]]:
 class Weights:
     """Scores of words and tags, and learned class words of what isn't content."""
 
-    def __init__(self, word: float = 1.0, out: float = -1.0, tags: dict[str, float] | None = None, learned: frozenset = frozenset()):
+    def __init__(self, word: float = 1.0, out: float = -0.02, tags: dict[str, float] | None = None, learned: frozenset = frozenset()):
         self.word, self.out, self.tags, self.learned = word, out, tags or {"p": -0.1, "b": -0.1, "br": -0.1, "h1": -0.1, "i": -0.1, "em": -0.1, "strong": -0.1, "span": -0.1}, learned
         self.other = -0.5
 
@@ -147,7 +147,7 @@ def extract(page: str | None, weights: Weights) -> str:
         return ""
     toks = tokens(page)
     out = excluded(toks, weights)
-    scores = [(weights.out if o else weights.word) * len(t[1].split()) if t[0] == "text" else weights.tag(t[1]) for t, o in zip(toks, out, strict=True)]
+    scores = [weights.out if o else weights.word * len(t[1].split()) if t[0] == "text" else weights.tag(t[1]) for t, o in zip(toks, out, strict=True)]
     a, b = grown(toks, *best_region(scores))
     blocks, now = [], []
     for (kind, name, _), o in zip(toks[a:b], out[a:b], strict=True):
@@ -201,13 +201,16 @@ def learn(pages: list[tuple[str, str]], least: float = LEAST, min_seen: int = MI
     odds = lambda c, name: math.log(((c[True][name] + 1) / (n[True] + 1)) / ((c[False][name] + 1) / (n[False] + 1)))
     scale = max(odds(word, "w"), 0.3)
     tags = {t: min(-least, max(-MOST_INLINE if t in INLINE else -MOST, odds(tag, t) / scale)) for t in tag[True] | tag[False]}
-    return Weights(1.0, -1.0, tags, frozenset(m for m, k in held[False].items() if k >= min_seen and not held[True][m]))
+    return Weights(1.0, -0.02, tags, frozenset(m for m, k in held[False].items() if k >= min_seen and not held[True][m]))
 
 
 def fit(pages: DataFrame, texts: DataFrame, max_pages: int = MAX_PAGES) -> Weights:
     """Learn from at most max_pages of pages (page_id, html, doc_id) with texts (doc_id, text): those of the lowest doc_ids, so that the other texts needn't be read."""
     known = pages.where("doc_id is not null and html is not null").select("page_id", "doc_id", "html")
-    ids = [r.doc_id for r in known.select("doc_id").orderBy("doc_id").limit(max_pages).collect()]
+    n = known.count()
+    # Thinned before it is ordered, so a task doesn't send its own first rows to the driver.
+    low = known if n <= 2 * max_pages else known.where(F.col("doc_id") <= known.agg(F.percentile_approx("doc_id", 1.5 * max_pages / n, 10_000)).first()[0])
+    ids = [r.doc_id for r in low.select("doc_id").orderBy("doc_id").limit(max_pages).collect()]
     if not ids:
         return Weights()
     some = texts.select("doc_id", "text").where(F.col("doc_id").between(ids[0], ids[-1]) & F.col("text").isNotNull())

@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -189,18 +190,19 @@ def kept(vocab: Vocabulary, model: LogBilinear | None = None) -> tuple:
 def word_counts(docs: DataFrame, flush: int = 400_000) -> DataFrame:
     """(word, class, c, a) with the training and total count of every word; the end is the empty word. docs (text, held_out)."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train, rest = Counter(), Counter()
 
-        def rows() -> pd.DataFrame:
+        def rows() -> pa.RecordBatch:
             keys = list(train.keys() | rest.keys())
-            out = pd.DataFrame({"word": [w.decode() for w in keys], "class": [suffix_class(w) for w in keys], "c": [train[w] for w in keys], "a": [train[w] + rest[w] for w in keys]})
+            cols = [[w.decode() for w in keys], [suffix_class(w) for w in keys], [train[w] for w in keys], [train[w] + rest[w] for w in keys]]
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["word", "class", "c", "a"])
             train.clear()
             rest.clear()
             return out
 
         for batch in batches:
-            for text, held in zip(batch["text"], batch["held_out"], strict=True):
+            for text, held in zip(batch["text"].to_pylist(), batch["held_out"].to_pylist(), strict=True):
                 to = rest if held else train
                 to.update(words(text.lower() if text and text.isascii() else lower(text)))
                 to[b""] += 1
@@ -208,7 +210,7 @@ def word_counts(docs: DataFrame, flush: int = 400_000) -> DataFrame:
                     yield rows()
         yield rows()
 
-    got = docs.select("text", "held_out").mapInPandas(count, "word string, class int, c long, a long")
+    got = docs.select("text", "held_out").mapInArrow(count, "word string, class int, c long, a long")
     return got.groupBy("word", "class").agg(F.sum("c").alias("c"), F.sum("a").alias("a"))
 
 
@@ -221,7 +223,15 @@ def vocabulary(counts: DataFrame, n_words: int = N_WORDS, table_size: int = TABL
     """The broadcast part of the counts and the number of training texts."""
     total, distinct, n_docs = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.sum(F.when(F.col("word") == "", F.col("c"))), F.lit(0))).first()
     real = counts.where("word <> ''")
-    top = real.orderBy(F.desc("a"), "word").limit(table_size).select("word", "c").toPandas()
+    # The least count that leaves at most table_size words, from a histogram of some hundred rows; then no task sends more than it has of these.
+    level = F.floor(F.log2("a") * 8).cast("int")
+    sizes = sorted(((r.level, r["n"]) for r in real.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, room = 1 << 30, table_size
+    for at, n in sizes:
+        if n > room:
+            break
+        least, room = at, room - n
+    top = real.where(level >= least).select("word", "c", "a").toPandas().sort_values(["a", "word"], ascending=[False, True], ignore_index=True)
     sums = real.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).collect()
     class_total, class_distinct = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in sums:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import fold, words
+from spanwise.llm.common import fold, some_of, stored, words
 
 MAX_ROWS, THRESHOLD = 8000, 0.5
 MAX_PRECISION = 200.0
@@ -39,7 +39,7 @@ def figures(text: str | None) -> list[float]:
     text = text or ""
     w = words(text)
     n, chars = max(1, len(w)), max(1, len(text))
-    letters = sum(map(str.isalpha, text[:0])) if not text else len(re.findall(r"[^\W\d_]", text))
+    letters = len(re.findall(r"[^\W\d_]", text))
     upper = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
     same = sum(a == b for a, b in zip(w, w[1:], strict=False))
     tail = len(re.findall(r"[!#*$%&|<>]", text))
@@ -79,7 +79,7 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 40, decay: float = 1.0)
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Evidence | None:
     """Evidence from labels (doc_id, y), by the hash order of the ids."""
-    ids = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    ids = some_of(labels, "doc_id", max_rows, labels.count())
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -114,8 +114,6 @@ def quality(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int =
         for x in texts:
             yield pd.Series(model(np.array([figures(t) for t in x], float).reshape(-1, N_FIGURES)) if model else np.full(len(x), 0.5))
 
-    from spanwise.llm.common import stored
-
     scored = docs.select("doc_id", "host", "path", evidence("text").alias("evidence")).join(labels, "doc_id", "left")
     scored = stored(scored.withColumn("add", F.coalesce("y", "evidence")), "evidence")
     paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("add").alias("s"))

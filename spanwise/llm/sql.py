@@ -2,4 +2,39 @@
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+from spanwise.llm.mixing import BLOCK, MAX_SHARDS, MOST, SEED, SHARD_ROWS, SHARE, WEIGHTS
+
+_WEIGHT = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WEIGHTS))
+
+
+def _seeded(seed: int, *cols: str) -> str:
+    """A whole number below 2**52 from md5."""
+    parts = ", ".join([f"'{seed}'", *(f"coalesce({c}::VARCHAR, '')" for c in cols)])
+    return f"('0x' || substr(md5(concat_ws('|', {parts})), 1, 13))::BIGINT"
+
+
+#: Targets by filling up sources in order; quotas as the highest quotients, here as a list of all that can matter.
+MIXING = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS h FROM documents),
+r AS (SELECT *, {_seeded(SEED, "doc_id", "h")} AS at FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_rows FROM r GROUP BY source),
+w AS (SELECT *, (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} {_WEIGHT} END)::DOUBLE AS weight FROM s),
+a AS (SELECT *, {MOST} * source_size / weight AS full_at FROM w),
+l AS (SELECT *, ({SHARE}::DOUBLE * sum(source_size) OVER () - {MOST} * coalesce(sum(source_size) OVER f, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0)) AS level
+ FROM a WINDOW f AS (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, n_rows, least({MOST} * source_size::DOUBLE, coalesce(max(CASE WHEN level <= full_at THEN level END) OVER (), 'inf'::DOUBLE) * weight) AS target,
+ least(ceil(n_rows / {SHARD_ROWS}), {MAX_SHARDS})::BIGINT AS shards FROM l),
+p AS (SELECT r.*, t.source_size, t.target, r.at % t.shards AS shard FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT source, shard, sum(size)::BIGINT AS cell, any_value(target) AS target FROM p GROUP BY source, shard),
+g AS (SELECT *, floor(target / {BLOCK} + 0.5)::BIGINT AS seats, sum(cell) OVER (PARTITION BY source) AS total, count(*) OVER (PARTITION BY source) AS n FROM c),
+x AS (SELECT source, shard, seats, cell::DOUBLE / (2 * k - 1) AS q FROM (SELECT *, unnest(range(1, (ceil(cell * seats::DOUBLE / total) + n + 3)::BIGINT)) AS k FROM g WHERE cell > 0)),
+y AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY q DESC, shard) AS place FROM x),
+z AS (SELECT source, shard, count(*) AS quota FROM y WHERE place <= seats GROUP BY source, shard),
+b AS (SELECT c.source, c.shard, c.cell, coalesce(z.quota, 0) AS quota, greatest(ceil(c.cell / {BLOCK}), 1)::BIGINT AS n, {_seeded(SEED + 1, "c.source", "c.shard")} AS u FROM c LEFT JOIN z ON c.source IS NOT DISTINCT FROM z.source AND c.shard = z.shard),
+e AS (SELECT *, least(quota // n, {MOST})::BIGINT AS complete, CASE WHEN quota // n >= {MOST} THEN 0 ELSE quota % n END AS more, u % n AS start FROM b),
+o AS (SELECT p.doc_id, p.size, p.source_size, p.target, p.shard, p.source, e.quota, e.complete, e.more, e.start, e.n, sum(p.size) OVER (PARTITION BY p.source, p.shard ORDER BY p.at, p.doc_id, p.size, p.h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi
+ FROM p JOIN e ON p.source IS NOT DISTINCT FROM e.source AND p.shard = e.shard)
+SELECT doc_id, size, source_size, target, (complete * size + greatest(least(hi, (start + more) * {BLOCK}) - greatest(hi - size, start * {BLOCK}), 0) + greatest(least(hi, greatest(start + more - n, 0) * {BLOCK}) - (hi - size), 0))::BIGINT AS taken, shard, quota::BIGINT AS quota, source FROM o
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_sainte_lague": MIXING}

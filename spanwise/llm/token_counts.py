@@ -75,20 +75,20 @@ class Counted:
 
 
 def frequent_lengths(docs: DataFrame, path: str, n_docs: int = TABLE_DOCS, size: int = TABLE_SIZE) -> dict[str, int]:
-    """Token counts of the most frequent pre-tokens of at most n_docs texts, counted where the texts are.
+    """Token counts of the most frequent pre-tokens of about n_docs sampled texts, counted where the texts are.
 
-    At most ``size`` entries come to the driver. A bounded sample is enough: the table decides speed, not results.
+    A sample bounded by n_docs is enough: the table decides speed, not results. At most ``size`` entries are kept.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counted, seen = Counted(path), Counter()
         for batch in batches:
             for text in batch["text"]:
-                seen.update(counted.pieces(text[:20_000]))
+                seen.update(counted.pieces(text))
         top = [(p, n, counted.lengths[p]) for p, n in seen.most_common(size) if len(p) < 64]
         yield pd.DataFrame(top, columns=["piece", "n", "tokens"])
 
-    some = docs.select("text").where(F.length("text") > 0).limit(n_docs)
+    some = docs.select("text").where((F.length("text") > 0) & (F.rand(3) < n_docs / max(1, docs.count())))
     top = some.mapInPandas(count, "piece string, n long, tokens int").groupBy("piece").agg(F.sum("n").alias("n"), F.max("tokens").alias("tokens"))
     rows = top.orderBy(F.desc("n"), "piece").limit(size).select("piece", "tokens").toPandas()
     return dict(zip(rows["piece"], map(int, rows["tokens"]), strict=True))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import fold
+from spanwise.llm.common import fold, some_of
 
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 9000
 MIN_TEXTS, MIN_Z = 2, 3.5
@@ -137,17 +137,17 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 1, folds: int = 3, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, min_texts: int = MIN_TEXTS, min_z: float = MIN_Z) -> Model:
     """Learn from labels outside the held-out fold. The prior is the toxic share of those labels."""
-    docs, labels = docs.select("doc_id", "text"), labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null")
     if held_out is not None:
-        keep = F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)
+        keep = fold(F.col("doc_id"), folds) != held_out
         docs, labels = docs.where(keep), labels.where(keep)
     labels = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = labels.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic:
         return Model({}, -30.0)
-    order = F.xxhash64(F.col("doc_id"), F.lit(11))
-    some = labels.where("toxic = 1").select("doc_id").orderBy(order, "doc_id").limit(max_positive)
-    unl_ids = docs.select("doc_id").orderBy(order, "doc_id").limit(max_unlabelled).distinct()
+    some = some_of(labels.where("toxic = 1").select("doc_id"), "doc_id", max_positive, toxic)
+    unl_ids = some_of(docs.select("doc_id"), "doc_id", max_unlabelled, docs.count()).distinct()
     p, u = (_bags(docs.join(F.broadcast(ids), "doc_id", "left_semi")) for ids in (some, unl_ids))
     if not p or not u:
         return Model({}, -30.0)
