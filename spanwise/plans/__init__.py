@@ -1 +1 @@
-
+"""Whole jobs: from files to tables, answers and reports."""

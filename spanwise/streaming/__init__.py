@@ -1 +1 @@
-
+"""Nothing here: sections come in batches, and no operator has streaming semantics."""
