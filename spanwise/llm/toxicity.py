@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from spanwise.llm.common import fold, some_of
 
-MAX_POSITIVE, MAX_UNLABELLED = 3000, 9000
+MAX_POSITIVE, MAX_UNLABELLED = 2000, 6000
 MIN_TEXTS, MIN_Z = 2, 3.5
 STEPS, DECAY = 400, 3e-4
 BUCKETS, THRESHOLD = 1 << 22, 0.7
@@ -67,10 +67,12 @@ def select(pos: list[np.ndarray], unl: list[np.ndarray], min_texts: int, min_z:
     for c, side in zip(count, (pos, unl), strict=True):
         for x in side:
             c[np.unique(x)] += 1
-    p, u = (count[0] + 0.0) / max(1, len(pos)), (count[1] + 0.0) / max(1, len(unl))
-    both = (count[0] + count[1]) / max(1, len(pos) + len(unl))
-    z = np.abs(p - u) / np.sqrt(np.maximum(both * (1 - both) * (1 / max(1, len(pos)) + 1 / max(1, len(unl))), 1e-12))
-    return np.flatnonzero((count[0] >= min_texts) & (z >= min_z))
+    some = np.flatnonzero(count[0] >= min_texts)
+    n_pos, n_unl = max(1, len(pos)), max(1, len(unl))
+    a, b = count[0][some], count[1][some]
+    both = (a + b) / (n_pos + n_unl)
+    z = np.abs(a / n_pos - b / n_unl) / np.sqrt(np.maximum(both * (1 - both) * (1 / n_pos + 1 / n_unl), 1e-12))
+    return some[z >= min_z]
 
 
 def rows(side: list[np.ndarray], kept: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
