@@ -5,8 +5,10 @@ Sums of doubles are taken as decimals, so that no engine's order of addition sho
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -401,3 +403,33 @@ def shoelace_area(spark, sf):
 @query("""SELECT event_id, event_type, TRY_CAST(props->>'$.k' AS VARCHAR) AS k, TRY_CAST(json_extract_string(props, '$.v') AS BIGINT) AS v FROM events""")
 def json_props(spark, sf):
     return t(spark, sf, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.v").try_cast("long").alias("v"))
+
+
+@query()
+def fuzzy_names(spark, sf):
+    """Closest of the known type names for each part name, by Ratcliff-Obershelp; no SQL has that ratio."""
+    known = sorted(a.lower() for a, _ in ALIASES if len(a) > 1)
+
+    @F.pandas_udf("struct<alias: string, ratio: double>")
+    def closest(names: pd.Series) -> pd.DataFrame:
+        best = [max(((difflib.SequenceMatcher(None, n.lower(), a).ratio(), a) for a in known), key=lambda x: (x[0], x[1])) for n in names]
+        return pd.DataFrame({"alias": [a for _, a in best], "ratio": [r for r, _ in best]})
+
+    return t(spark, sf, "part").select("p_name").distinct().select("p_name", closest("p_name").alias("m")).select("p_name", "m.alias", "m.ratio")
+
+
+@query()
+def hull_per_label(spark, sf):
+    """Convex hull of the first two coordinates per label: partial hulls per part first, so no group is gathered whole."""
+    from spanwise.functions.geometry import area_of, hull
+
+    def shrink(key, group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], u, v) for u, v in hull(list(zip(group["u"], group["v"], strict=True)))], columns=["label", "u", "v"])
+
+    def measure(key, group: pd.DataFrame) -> pd.DataFrame:
+        h = hull(list(zip(group["u"], group["v"], strict=True)))
+        return pd.DataFrame([(key[0], len(h), area_of(h))], columns=["label", "n_corners", "area"])
+
+    points = t(spark, sf, "embeddings").select("label", "vec_id", F.col("embedding")[0].cast("double").alias("u"), F.col("embedding")[1].cast("double").alias("v"))
+    parts = points.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64))).groupBy("label", "part").applyInPandas(shrink, "label int, u double, v double")
+    return parts.groupBy("label").applyInPandas(measure, "label int, n_corners int, area double")
