@@ -57,7 +57,7 @@ class Codes(dict):
         self.number = number
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         n = self[word] = self.number.get(word.strip(STRIP), len(self.number))
         return n

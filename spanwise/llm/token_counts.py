@@ -27,7 +27,7 @@ PLAIN = r"[\t\n\r -~¡-¬®-ȳ‐-‧‰-⁞€]*"
 
 TABLE_DOCS = 2000
 TABLE_SIZE = 65_536
-CACHE_SIZE = 400_000
+CACHE_SIZE = 200_000
 
 
 class Lengths(dict):

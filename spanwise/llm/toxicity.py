@@ -53,7 +53,7 @@ def bags(texts: list[str]) -> list[np.ndarray]:
         got: list[int] = []
         for w in tokens(text):
             if w not in known:
-                if len(known) > 300_000:
+                if len(known) > 120_000:
                     known.clear()
                 known[w] = features(w)
             got.extend(known[w])
@@ -130,7 +130,7 @@ class Model:
         for w in tokens(text):
             x = cache.get(w)
             if x is None:
-                if len(cache) > 400_000:
+                if len(cache) > 120_000:
                     cache.clear()
                 x = cache[w] = sum(self.weights.get(f, 0.0) for f in features(w))
             z += x
