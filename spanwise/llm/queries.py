@@ -37,7 +37,7 @@ def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanwise.llm.line_dedup import line_dedup
 
-    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
 
 
 def op5_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
