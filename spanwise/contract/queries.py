@@ -106,8 +106,18 @@ def semi_parts(spark, sf):
 n AS (SELECT unnest([a, b]) AS node FROM e)
 SELECT node, count(*) AS degree, CASE WHEN count(*) > 2 THEN 'branch' WHEN count(*) = 2 THEN 'junction' ELSE 'endpoint' END AS role FROM n GROUP BY node""")
 def degree_roles(spark, sf):
-    line = t(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
-    pairs = t(spark, sf, "orders").where("o_orderstatus = 'O'").join(line, "o_orderkey")
+    return _degree_roles(t(spark, sf, "orders").where("o_orderstatus = 'O'"), t(spark, sf, "lineitem").where("l_linenumber = 1"))
+
+
+@query()
+def degree_roles_whole(spark, sf):
+    """degree_roles over all orders and all their lines."""
+    return _degree_roles(t(spark, sf, "orders"), t(spark, sf, "lineitem"))
+
+
+def _degree_roles(orders, lines):
+    line = lines.select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
+    pairs = orders.join(line, "o_orderkey")
     edges = pairs.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b")).distinct()
     return R.degrees(edges, "a", "b")
 
@@ -117,7 +127,17 @@ s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(node, seen) AS (SELECT a, a FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.seen = s.a)
 SELECT node, min(seen) AS component FROM r GROUP BY node""")
 def components(spark, sf):
-    edges = t(spark, sf, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("a"), ((F.col("s_suppkey") * 7 + 3) % 1000).alias("b")).distinct()
+    return _components(t(spark, sf, "supplier").where("s_suppkey % 3 <> 0"))
+
+
+@query()
+def components_whole(spark, sf):
+    """components over all suppliers."""
+    return _components(t(spark, sf, "supplier"))
+
+
+def _components(suppliers):
+    edges = suppliers.select(F.col("s_suppkey").alias("a"), ((F.col("s_suppkey") * 7 + 3) % 1000).alias("b")).distinct()
     return R.graph_components(edges, "a", "b")
 
 
@@ -127,8 +147,18 @@ c AS (SELECT g, count(*) AS n_edges FROM e GROUP BY g)
 SELECT g, n_edges, sum((degree > 2)::INT)::BIGINT AS n_branch, sum((degree = 1)::INT)::BIGINT AS n_end,
  CASE WHEN sum((degree > 2)::INT) > 0 THEN 'branched' WHEN sum((degree = 1)::INT) > 0 THEN 'open' WHEN n_edges > 0 THEN 'closed' ELSE 'unknown' END AS class FROM d JOIN c USING (g) GROUP BY g, n_edges""")
 def topology_class(spark, sf):
-    line = t(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
-    edges = t(spark, sf, "orders").join(line, "o_orderkey").select((F.col("o_custkey") % 40).alias("g"), F.col("o_custkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b"))
+    return _topology_class(t(spark, sf, "orders"), t(spark, sf, "lineitem").where("l_linenumber = 1"))
+
+
+@query()
+def topology_class_whole(spark, sf):
+    """topology_class over all lines of orders."""
+    return _topology_class(t(spark, sf, "orders"), t(spark, sf, "lineitem"))
+
+
+def _topology_class(orders, lines):
+    line = lines.select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
+    edges = orders.join(line, "o_orderkey").select((F.col("o_custkey") % 40).alias("g"), F.col("o_custkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b"))
     nodes = R.degrees(edges, "a", "b", ["g"]).groupBy("g").agg(F.sum((F.col("degree") > 2).cast("long")).alias("n_branch"), F.sum((F.col("degree") == 1).cast("long")).alias("n_end"))
     sizes = edges.groupBy("g").agg(F.count("*").alias("n_edges"))
     return nodes.join(sizes, "g").select("g", "n_edges", "n_branch", "n_end", R.class_of(F.col("n_branch"), F.col("n_end"), F.col("n_edges")).alias("class"))
