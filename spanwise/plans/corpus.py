@@ -61,7 +61,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         labelled = corpus["targets"].where(~F.array_contains("flags", "synthetic")).select("section_id").distinct()
         rows = topology.section_rows(t["sections"], t["points"], t["curves"]).join(labelled, "section_id", "left_semi")
-        tried = augment.settled(augment.attempts(rows, args.per_section, args.seed)).persist()
+        tried = augment.settled(augment.attempts(rows, args.per_section, args.seed), augment.source_fingerprints(rows)).persist()
         reports.write_lines(tried.where("reason = 'ok'"), f"{args.out}/variants")
         reports.write_lines(augment.accounting(tried), f"{args.out}/accounting")
     return 0

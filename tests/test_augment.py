@@ -62,3 +62,18 @@ def test_generation(spark):
     targets = spark.createDataFrame([("ladder", "r", "web", ["R1", "R2"])], "section_id string, region_name string, label_id string, curve_names array<string>")
     got = A.propagated(targets, spark.createDataFrame(tried, A.VARIANT)).collect()
     assert got and all(r.curve_names or "aug_removed" in r.flags for r in got)
+
+
+def test_copies_of_sources_fail(spark):
+    """A mirror of a symmetric section is its source, not a new variant."""
+    points, curves = FIXTURES["square"]
+    rows = [("square", "point", n, i, 6.0 * u, 6.0 * v, None, None) for i, (n, (u, v)) in enumerate(points.items())]
+    rows += [("square", "curve", c, i, None, None, a, b) for i, (c, a, b) in enumerate(curves)]
+    df = spark.createDataFrame(rows, "section_id string, kind string, name string, ord int, u double, v double, start string, end string")
+    s = sketch("square")
+    s.each(lambda p: (6 * p[0], 6 * p[1]))
+    A.rigid(s, random.Random(1), kinds=["mirror_u"])
+    tried = spark.createDataFrame([("square", 0, "square@aug000", "ok", "[]", A.fingerprint(s), "{}", {}, None)], A.VARIANT)
+    got = A.settled(tried, A.source_fingerprints(df))
+    assert got.columns == tried.columns and [r.reason for r in got.collect()] == ["gate5_duplicate"]
+    assert [r.reason for r in A.settled(tried).collect()] == ["ok"]
