@@ -14,11 +14,13 @@ of its question's 5-word shingles (words without punctuation and case) a share o
 and, if it has an answer, of the answer's words too.
 
 The index is broadcast; its size is bounded: items are taken in shards of at most ``max_terms`` postings, and each
-shard is one broadcast and one pass over the documents, with term statistics of its own, as sharded indexes have. Result: (doc_id, item_id, bm25, overlap), a row for each contaminated
+shard is one broadcast and one pass over the documents. Term statistics, the mean length and the passage step are taken over
+all items beforehand, so results don't depend on the shards. Result: (doc_id, item_id, bm25, overlap), a row for each contaminated
 document and item; bm25 is the scaled score, overlap the verified share, both the best over passages.
 
 Defined cases: null or empty texts, and items without a word or an id, give no rows; items of fewer than 5 words are one shingle;
-equal items are each reported; documents alike in doc_id give one row per item.
+equal items with ids of their own are each reported, a repeated row counts once; documents alike in doc_id give one row per
+item; empty tables, and tasks without rows, give no rows.
 """
 
 from __future__ import annotations
@@ -27,12 +29,15 @@ import bisect
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanwise.llm.common import stored
+
 K1, B = 1.2, 0.75
 SHINGLE, OVERLAP, SHARE = 5, 0.8, 0.5
 STEP, BLOCK, MAX_TERMS = 64, 16, 2_000_000
@@ -71,18 +76,34 @@ def grams(words: list, k: int = SHINGLE) -> set:
     return {tuple(words[i : i + k]) for i in range(n)} if words else set()
 
 
+@dataclass
+class Statistics:
+    """What BM25 takes from all items: how many have each term, their number, mean length, and the longest one's words."""
+
+    df: dict[bytes, int]
+    n_items: int
+    mean_len: float
+    longest: int
+
+
+def statistics_of(items: list[tuple]) -> Statistics:
+    whole = [terms(q) + terms(a) for _, q, a in items]
+    longest = max(len(f"{q or ''} {a or ''}".split()) for _, q, a in items)
+    return Statistics(Counter(t for w in whole for t in set(w)), len(items), sum(map(len, whole)) / len(items), longest)
+
+
 class Index:
-    """Postings of one shard of items (item_id, question, answer)."""
+    """Postings of one shard of items (item_id, question, answer), scored with the statistics of all items (by default: of these)."""
 
-    def __init__(self, items: list[tuple], share: float = SHARE, step: int = STEP, block: int = BLOCK, usual: dict[bytes, int] | None = None):
+    def __init__(self, items: list[tuple], share: float = SHARE, step: int = STEP, block: int = BLOCK, usual: dict[bytes, int] | None = None, statistics: Statistics | None = None):
         self.ids = [i for i, _, _ in items]
         self.question = [grams(terms(q)) for _, q, _ in items]
         self.answer = [set(terms(a)) for _, _, a in items]
         self.share, self.block = share, block
         whole = [terms(q) + terms(a) for _, q, a in items]
-        self.step = max([step, *(len(f"{q or ''} {a or ''}".split()) for _, q, a in items)])
-        n_items, mean_len = len(items), sum(map(len, whole)) / len(items)
-        df = Counter(t for w in whole for t in set(w))
+        stats = statistics or statistics_of(items)
+        df, n_items, mean_len = stats.df, stats.n_items, stats.mean_len
+        self.step = max(step, stats.longest)
         posts: dict[bytes, list[tuple[int, float]]] = {}
         for n, w in enumerate(whole):
             got = {t: math.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean_len)) for t, f in Counter(w).items()}
@@ -202,21 +223,49 @@ class Index:
         return out
 
 
+def described(items: DataFrame) -> DataFrame:
+    """items (item_id, question, answer) with a word and an id, each once: key, words, length (its terms) and its distinct terms."""
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            both = [(terms(q) + terms(a), len(f"{q} {a}".split())) for q, a in zip(b["question"], b["answer"], strict=True)]
+            b = b.assign(length=[len(w) for w, _ in both], words=[n for _, n in both], terms=[sorted({t.decode() for t in w}) for w, _ in both])
+            b = b[b["length"] > 0]
+            if len(b):
+                yield b
+
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    items = items.where("item_id is not null").select("item_id", text("question"), text("answer")).distinct().withColumn("key", F.monotonically_increasing_id())
+    return items.mapInPandas(describe, f"item_id {items.schema['item_id'].dataType.simpleString()}, question string, answer string, key long, length long, words long, terms array<string>")
+
+
 def indexes(items: DataFrame, max_terms: int = MAX_TERMS, **how) -> Iterator[Index]:
-    """Shards of the index of items (item_id, question, answer) in item order, each of max_terms postings at most (or one item)."""
-    shard, room = [], max_terms
-    items = items.where("item_id is not null").select("item_id", F.col("question").cast("string"), F.col("answer").cast("string"))
-    for r in items.orderBy("item_id", "question", "answer").toLocalIterator():
-        n = len(set(terms(r.question)) | set(terms(r.answer)))
-        if not n:
-            continue
-        if shard and n > room:
-            yield Index(shard, **how)
-            shard, room = [], max_terms
-        shard.append((r.item_id, r.question or "", r.answer or ""))
-        room -= n
-    if shard:
-        yield Index(shard, **how)
+    """Shards of the index of items (item_id, question, answer) in item order, each of max_terms postings at most (or one item).
+
+    How many items have a term is a grouped count over all items, joined back to the items' terms; the driver holds one shard.
+    """
+    items = stored(described(items), "items")
+    n_items, length, longest = items.agg(F.count("*"), F.sum("length"), F.max("words")).first()
+    if not n_items:
+        return
+    posts = items.select("key", F.explode("terms").alias("t"))
+    counts = posts.groupBy("t").agg(F.count("*").alias("df"))
+    of = posts.join(counts, "t").groupBy("key").agg(F.collect_list(F.struct("t", "df")).alias("dfs"))
+    rows = stored(items.drop("terms").join(of, "key"), "postings").orderBy("item_id", "question", "answer")
+    shard, df = [], {}
+
+    def index() -> Index:
+        return Index(shard, statistics=Statistics(df, n_items, length / n_items, longest), **how)
+
+    room = max_terms
+    for r in rows.toLocalIterator():
+        if shard and len(r.dfs) > room:
+            yield index()
+            shard, df, room = [], {}, max_terms
+        shard.append((r.item_id, r.question, r.answer))
+        df.update((x.t.encode(), x.df) for x in r.dfs)
+        room -= len(r.dfs)
+    yield index()
 
 
 def hits_column(index, overlap: float):
@@ -239,7 +288,9 @@ def usual_terms(docs: DataFrame, n_docs: int = SAMPLE) -> dict[bytes, int]:
         for b in batches:
             for t in b["text"]:
                 seen.update(set(terms(t)))
-        yield pd.DataFrame({"t": [t.decode() for t in seen], "n": list(seen.values())})
+        # An empty column would have no text type.
+        if seen:
+            yield pd.DataFrame({"t": [t.decode() for t in seen], "n": list(seen.values())})
 
     some = docs.select("text").where(F.rand(3) < n_docs / max(1, docs.count()))
     top = some.mapInPandas(count, "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "t").limit(50_000)
