@@ -9,11 +9,13 @@ The classifier is linear and trained in numpy on the driver, on at most ``max_po
 Features are hashed: for each distinct word, lower-cased and stripped of punctuation, the word and its prefixes of 4
 to 6 letters. A feature counts only if it is in ``min_texts`` of the sampled positives and its share there differs
 from the unlabelled share by ``min_z`` standard errors, so texts of any length have few features and a long
-clean text gathers no noise.
+clean text gathers no noise. Texts are counted by feature in Spark; the driver gets the few features that count and
+how often each sampled text has them, never the texts' features.
 
 Defined cases: a null or empty text has no features; its score comes from the bias, so below 1/2 for priors below
-1/2. Without positives every score is 0. Repeated rows get the same score; rows of labels without a document, and
-null labels, are ignored; an id labelled twice is toxic if any of its labels says so.
+1/2. Without positives every score is 0. Repeated rows get the same score, and each counts where it is sampled; rows of
+labels without a document, and null labels, are ignored; an id labelled twice is toxic if any of its labels says so; null
+ids are scored and never learned from; empty tables give empty results; a very long text is one row of its distinct words.
 """
 
 from __future__ import annotations
@@ -21,15 +23,17 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import fold, some_of
+from spanwise.llm.common import fold, some_of, stored
 
-MAX_POSITIVE, MAX_UNLABELLED = 2000, 6000
+#: Bounds of the samples that the classifier is fitted on.
+MAX_POSITIVE, MAX_UNLABELLED = 3000, 12_000
 MIN_TEXTS, MIN_Z = 2, 3.5
 STEPS, DECAY = 400, 3e-4
 BUCKETS, THRESHOLD = 1 << 22, 0.7
@@ -61,62 +65,56 @@ def bags(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def select(pos: list[np.ndarray], unl: list[np.ndarray], min_texts: int, min_z: float) -> np.ndarray:
-    """Sorted buckets whose share of texts differs between the two samples."""
-    count = [np.zeros(BUCKETS, np.int32) for _ in range(2)]
-    for c, side in zip(count, (pos, unl), strict=True):
-        for x in side:
-            c[np.unique(x)] += 1
-    some = np.flatnonzero(count[0] >= min_texts)
-    n_pos, n_unl = max(1, len(pos)), max(1, len(unl))
-    a, b = count[0][some], count[1][some]
-    both = (a + b) / (n_pos + n_unl)
-    z = np.abs(a / n_pos - b / n_unl) / np.sqrt(np.maximum(both * (1 - both) * (1 / n_pos + 1 / n_unl), 1e-12))
-    return some[z >= min_z]
+@dataclass
+class Rows:
+    """Sparse rows: ``values`` at (``row``, ``column``) of n rows."""
 
+    column: np.ndarray
+    value: np.ndarray
+    row: np.ndarray
+    n: int
 
-def rows(side: list[np.ndarray], kept: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(columns, values): how many distinct words have each kept feature, damped by a square root."""
-    out = []
-    for x in side:
-        at = np.searchsorted(kept, x)
-        at = at[(at < len(kept)) & (kept[np.minimum(at, len(kept) - 1)] == x)] if len(kept) else at[:0]
-        out.append(np.unique(at, return_counts=True))
-    return out
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], self.n)
 
+    def transposed_times(self, by: np.ndarray, n_columns: int) -> np.ndarray:
+        return np.bincount(self.column, self.value * by[self.row], n_columns)
 
-def nn_pu(pos, unl, n_features: int, prior: float, steps: int = STEPS, rate: float = 0.1, decay: float = DECAY) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative PU risk under the logistic loss, by Adam.
 
-    Each step takes the whole samples: in small batches the unlabelled sample's toxic share varies by more than the
-    risk that is left for clean texts, and the correction would undo every other step.
-    """
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
 
-    def flat(side):
-        lengths = [len(c) for c, _ in side]
-        return np.concatenate([c for c, _ in side]), np.concatenate([x for _, x in side]).astype(float), np.repeat(np.arange(len(side)), lengths), len(side)
+def risk_and_slope(v: np.ndarray, pos: Rows, unl: Rows, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Of weights and bias v: the positive part p R_P(+) and the negative part R_U(-) - p R_P(-) of the risk under the logistic loss, and the gradient of each."""
+    w, b = v[:-1], v[-1]
+    zp, zu = pos.times(w) + b, unl.times(w) + b
 
-    def score(at):
-        return np.bincount(at[2], at[1] * w[at[0]], at[3]) + b
+    def slope(rows: Rows, by: np.ndarray) -> np.ndarray:
+        return np.append(rows.transposed_times(by, len(w)), by.sum())
 
-    def slope(at, by):
-        return np.append(np.bincount(at[0], at[1] * by[at[2]], n_features), by.sum())
+    positive = prior * np.logaddexp(0, -zp).mean()
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    g_positive = -prior * slope(pos, (1 - sigmoid(zp)) / pos.n)
+    g_negative = slope(unl, sigmoid(zu) / unl.n) - prior * slope(pos, sigmoid(zp) / pos.n)
+    return positive, negative, g_positive, g_negative
 
-    def sig(z):
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    w, b, p, u = np.zeros(n_features), float(np.log(prior / (1 - prior))), flat(pos), flat(unl)
+def nn_pu(pos: Rows, unl: Rows, n_features: int, prior: float, steps: int = STEPS, rate: float = 0.1, decay: float = DECAY) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative PU risk under the logistic loss, by Adam.
+
+    Each step takes the whole samples: in small batches the unlabelled sample's toxic share varies by more than the
+    risk that is left for clean texts, and the correction would undo every other step.
+    """
+    x = np.append(np.zeros(n_features), np.log(prior / (1 - prior)))
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for step in range(1, steps + 1):
-        zp, zu = score(p), score(u)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_neg = slope(u, sig(zu) / u[3]) - prior * slope(p, sig(zp) / p[3])
-        g = -g_neg if negative < 0 else g_neg - prior * slope(p, (1 - sig(zp)) / p[3])
-        g[:-1] += decay * w
+        _, negative, up, down = risk_and_slope(x, pos, unl, prior)
+        g = -down if negative < 0 else up + down
+        g[:-1] += decay * x[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    return w, b
+        x = x - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return x[:-1], float(x[-1])
 
 
 class Model:
@@ -137,6 +135,15 @@ class Model:
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
+def telling(bags_: DataFrame, n_pos: int, n_unl: int, min_texts: int, min_z: float) -> DataFrame:
+    """(bucket) of bags_ (pos, bag) whose share of texts differs between positives and unlabelled ones."""
+    each = bags_.select(F.col("pos").cast("int").alias("p"), F.explode(F.array_distinct("bag")).alias("bucket"))
+    n = each.groupBy("bucket").agg(F.sum("p").alias("a"), F.sum(1 - F.col("p")).alias("b")).where(F.col("a") >= min_texts)
+    both = (F.col("a") + F.col("b")) / (n_pos + n_unl)
+    error = F.sqrt(F.greatest(both * (1 - both) * (1 / n_pos + 1 / n_unl), F.lit(1e-12)))
+    return n.where(F.abs(F.col("a") / n_pos - F.col("b") / n_unl) / error >= min_z).select("bucket")
+
+
 def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 1, folds: int = 3, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, min_texts: int = MIN_TEXTS, min_z: float = MIN_Z) -> Model:
     """Learn from labels outside the held-out fold. The prior is the toxic share of those labels."""
     docs = docs.select("doc_id", "text").where("doc_id is not null")
@@ -148,23 +155,36 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 1, folds: int
     n, toxic = labels.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic:
         return Model({}, -30.0)
-    some = some_of(labels.where("toxic = 1").select("doc_id"), "doc_id", max_positive, toxic)
-    unl_ids = some_of(docs.select("doc_id"), "doc_id", max_unlabelled, docs.count()).distinct()
-    p, u = (_bags(docs.join(F.broadcast(ids), "doc_id", "left_semi")) for ids in (some, unl_ids))
-    if not p or not u:
+    known = some_of(labels.where("toxic = 1").select("doc_id"), "doc_id", max_positive, toxic)
+    others = some_of(docs.select("doc_id"), "doc_id", max_unlabelled, docs.count())
+    ids = known.select("doc_id", F.lit(True).alias("pos")).union(others.select("doc_id", F.lit(False).alias("pos"))).distinct()
+    bags_ = stored(_bags(docs.join(F.broadcast(ids), "doc_id")).withColumn("row", F.monotonically_increasing_id()), "bags")
+    n_pos, n_unl = bags_.agg(F.count(F.when(F.col("pos"), 1)), F.count(F.when(~F.col("pos"), 1))).first()
+    if not n_pos or not n_unl:
         return Model({}, -30.0)
-    kept = select(p, u, min_texts, min_z)
-    w, b = nn_pu(rows(p, kept), rows(u, kept), len(kept), min(0.9, max(0.01, toxic / n)))
-    return Model({int(k): float(x) for k, x in zip(kept, w, strict=True) if abs(x) > 1e-3}, b)
+    kept = np.array(sorted(r.bucket for r in telling(bags_, n_pos, n_unl, min_texts, min_z).collect()), np.int64)
+    buckets = docs.sparkSession.createDataFrame(pd.DataFrame({"bucket": kept.astype(np.int32)}), "bucket int")
+    each = bags_.select("pos", "row", F.explode("bag").alias("bucket")).join(F.broadcast(buckets), "bucket")
+    # How many distinct words of a text have each feature that counts.
+    cells = each.groupBy("pos", "row", "bucket").agg(F.count("*").alias("n")).toPandas().sort_values(["pos", "row", "bucket"])
+
+    def side(pos: bool, n: int) -> Rows:
+        x = cells[cells["pos"] == pos]
+        return Rows(np.searchsorted(kept, x["bucket"].to_numpy()), x["n"].to_numpy(float), np.unique(x["row"].to_numpy(), return_inverse=True)[1], n)
+
+    w, b = nn_pu(side(True, n_pos), side(False, n_unl), len(kept), min(0.9, max(0.01, toxic / n)))
+    return Model({int(k): float(x) for k, x in zip(kept, w, strict=True)}, b)
+
 
+def _bags(docs: DataFrame) -> DataFrame:
+    """(pos, bag): each row's feature buckets, one for each distinct word that has it."""
 
-def _bags(docs: DataFrame) -> list[np.ndarray]:
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "bag": [x.tobytes() for x in bags(list(batch["text"]))]})
+            if len(batch):
+                yield pd.DataFrame({"pos": batch["pos"].to_numpy(), "bag": [x.tolist() for x in bags(list(batch["text"]))]})
 
-    got = docs.select("doc_id", "text").mapInPandas(make, "doc_id long, bag binary")
-    return [np.frombuffer(r.bag, np.int32) for r in sorted(got.toLocalIterator(), key=lambda r: (r.doc_id, bytes(r.bag)))]
+    return docs.select("pos", "text").mapInPandas(make, "pos boolean, bag array<int>")
 
 
 def score_column(docs: DataFrame, model: Model):
