@@ -16,7 +16,8 @@ its own). While a star has members of different components, those are grouped ag
 must share at least k of its r, the first r - k + 1 in hash order suffice), and each group is held against one member,
 until no new pair turns up. All links are verified on the whole texts. Components of the links are the classes.
 
-Result per row: doc_id, n_shingles, class_id (least doc_id of the class), class_rows, is_kept (one row of the class).
+Result per row: doc_id, n_shingles, class_id (least doc_id of the class), class_rows, is_kept (one row of the class: that
+of the least doc_id, null last, then of the least text hash, however the table is split into files).
 Defined cases: a text of 1 to 4 words is one shingle of all of them; a null text or one without words is in no group:
 its class_id is its own doc_id, class_rows 1, is_kept true. Rows with the same doc_id are rows of their own; a class
 whose doc_ids are all null has class_id null. Empty tables give empty results.
@@ -39,8 +40,8 @@ ROWS, BANDS = 8, 44
 SMALLER = 0
 #: Groups of so many texts are compared pair by pair: buckets, and the groups after them, which are fewer.
 SMALL, LATER = 24, 64
-#: Stars of up to so many texts are handled in one task.
-STAR = 4096
+#: So many texts of a star, and so many lone pairs of a text, come together in one task; the text in the middle is sent once to each.
+STAR, LONE = 512, 32
 
 _U = np.uint64
 #: The multipliers of the splitmix64 finaliser and its increment.
@@ -155,6 +156,7 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
     No text of the star a has fewer than ``least`` shingles. A star comes together in one task up to STAR texts, and a
     shingle that only one of its texts has is left out there; of a larger star, each task gives all. k is 0 for a lone pair.
+    The text of a goes once to each task that holds some of its pairs, ahead of them.
     """
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,33 +173,39 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             star.clear()
 
         for batch in batches:
-            for a, b, least, k, ta, tb in zip(batch["a"], batch["b"], batch["least"], batch["k"], batch["ta"], batch["tb"], strict=True):
-                if a != last:
+            for a, lone, part, centre, b, least, k, text in zip(*(batch[c] for c in ("a", "lone", "part", "centre", "b", "least", "k", "text")), strict=True):
+                if centre:
                     closed()
-                    last, left = a, shingles(ta, known)
-                right = shingles(tb, known)
-                na, nb = int(left[1].sum()), int(right[1].sum())
+                    last, left = (a, lone, part), shingles(text, known)
+                    na = int(left[1].sum())
+                    continue
+                assert last == (a, lone, part)
+                right = shingles(text, known)
+                nb = int(right[1].sum())
                 both, beyond = overlap(left, right)
                 linked = both >= similarity * (na + nb - both) - 1e-9
-                if not k:
+                if lone:
                     out.append((a, b, linked, np.empty(0, np.int64), 0))
                     continue
                 must = int(np.ceil(share * (least + nb) - both - 1e-9))
                 if not linked:
                     beyond = beyond[: max(0, len(beyond) - max(1, must) + 1)]
                 star.append((a, b, linked, np.unique(beyond).astype(np.int64), nb < na or (must <= 0 and not linked), k))
-                if len(star) > STAR:
-                    closed()
             yield pd.DataFrame(out, columns=["a", "b", "linked", "beyond", "k"])
             out = []
         closed()
         yield pd.DataFrame(out, columns=["a", "b", "linked", "beyond", "k"])
 
-    right, left = texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "least", "k", "ta", "tb")
-    # Lone pairs are dealt out evenly, a star by its centre; a larger one in parts.
-    part = F.when(F.col("k") == 0, F.xxhash64("b")).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / STAR)))
-    both = both.withColumn("part", part).repartition("a", "part").sortWithinPartitions("k", "a").drop("part")
+    lone = F.col("k") == 0
+    n_lone = pairs.where(lone).groupBy("a").agg(F.count("*").alias("_n"))
+    size = F.when(lone, F.col("_n") / LONE).otherwise(F.col("k") / STAR)
+    dealt = pairs.join(n_lone, "a", "left").select("a", lone.alias("lone"), F.pmod(F.xxhash64("b"), F.greatest(F.ceil(size), F.lit(1))).alias("part"), "b", "least", "k")
+    text = texts.select("node", "text")
+    members = dealt.withColumn("centre", F.lit(False)).join(text.withColumnRenamed("node", "b"), "b")
+    centres = dealt.groupBy("a", "lone", "part").agg(F.max("least").alias("least"), F.max("k").alias("k")).withColumns({"centre": F.lit(True), "b": F.lit(0).cast("long")})
+    order = ["a", "lone", "part", "centre", "b", "least", "k", "text"]
+    both = members.select(order).unionByName(centres.join(text.withColumnRenamed("node", "a"), "a").select(order)).repartition("a", "lone", "part")
+    both = both.sortWithinPartitions("a", "lone", "part", F.desc("centre"))
     return both.mapInPandas(held, "a long, b long, linked boolean, beyond array<long>, k long")
 
 
@@ -257,7 +265,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rows: int =
     docs = docs.select("doc_id", "text")
     rows_ = stored(signatures(docs, rows, bands).withColumn("row", F.monotonically_increasing_id()), "signatures")
     full = rows_.where("bands is not null")
-    nodes = full.groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    nodes = full.groupBy("key").agg(first.alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    nodes = nodes.select("key", F.col("first.row").alias("node"), F.col("first.doc_id").alias("least"), "copies", "n")
     nodes = stored(nodes, "nodes")
     banded = full.select(F.col("row").alias("node"), "n", "bands").join(nodes.select("node"), "node", "left_semi")
 
@@ -269,8 +279,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rows: int =
 
     comps = near_classes(banded, texts_of, similarity)
     classed = nodes.join(comps, "node", "left").withColumn("class", F.coalesce("class_id", "node")).drop("class_id")
-    sums = classed.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_rows"))
-    # One row stays: the first row of the node that is its class's least.
+    best = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key", "node"))["node"]
+    sums = classed.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_rows"), best.alias("kept"))
+    # One row stays: the first row of the class's first node.
     of_key = classed.select("key", "node", "class").join(sums, "class")
     out = rows_.join(of_key, "key", "left")
     alone = F.col("bands").isNull()
@@ -279,7 +290,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rows: int =
         F.col("n").alias("n_shingles"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("class_rows")).cast("long").alias("class_rows"),
-        (alone | (F.col("row") == F.col("class"))).alias("is_kept"),
+        (alone | (F.col("row") == F.col("kept"))).alias("is_kept"),
         "key",
     )
 
