@@ -9,13 +9,14 @@
 3. Score. The evidence's log-odds plus the log-odds that the document's path, without the document itself, has over
    the global mean.
 
-The sums are grouped aggregations with partial sums, so a hot host is a row per task in the shuffle; the join back
-to documents moves ids and figures, no texts. Result: doc_id, held_out, host, path, evidence, host_rate, path_rate,
+Texts are scored where they are; all joins move ids and figures, no texts. The sums are grouped aggregations with partial
+sums, so a hot host is a row per task in the shuffle; the join back to documents has one row for each path on its other
+side, so a hot path's rows may be split over any number of tasks, as adaptive execution does. Result: doc_id, held_out, host, path, evidence, host_rate, path_rate,
 score, kept (score >= threshold).
 
 Defined cases: a null text is the empty text; null hosts and paths are sites of their own; null or repeated labels:
 nulls are ignored, a document labelled twice takes the mean; without labels of both kinds the evidence is 1/2 for all;
-rows alike are scored each; empty tables give empty results.
+rows alike are scored each; empty tables give empty results; very long texts take time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from spanwise.llm.common import fold, some_of, stored, words
 
 MAX_ROWS, THRESHOLD = 8000, 0.5
+#: The moments give no finite precision where rates differ by no more than chance; then a site of so many documents
+#: still counts as much as its prior.
 MAX_PRECISION = 200.0
 
 
@@ -101,9 +104,11 @@ def precision(rates: DataFrame, mean) -> F.Column:
     return F.when(between > 1e-9, F.greatest(F.lit(1.0), F.least(F.lit(MAX_PRECISION), m * (1 - m) / between - 1))).otherwise(F.lit(MAX_PRECISION))
 
 
-def quality(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The columns named above for docs (doc_id, text, host, path) and labels (doc_id, quality)."""
-    docs = docs.select("doc_id", "text", "host", "path")
+def quality(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS, place=None) -> DataFrame:
+    """The columns named above for docs (doc_id, text, host, path) and labels (doc_id, quality).
+
+    place, if given, adds host and path to docs' other columns once texts are scored and left behind.
+    """
     labels = labels.select("doc_id", F.col("quality").cast("double").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
     labels = labels.groupBy("doc_id").agg(F.avg("y").alias("y"))
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_rows))
@@ -114,7 +119,8 @@ def quality(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int =
         for x in texts:
             yield pd.Series(model(np.array([figures(t) for t in x], float).reshape(-1, N_FIGURES)) if model else np.full(len(x), 0.5))
 
-    scored = docs.select("doc_id", "host", "path", evidence("text").alias("evidence")).join(labels, "doc_id", "left")
+    scored = docs.withColumn("_evidence", evidence("text")).drop("text")
+    scored = (place(scored) if place else scored).select("doc_id", "host", "path", F.col("_evidence").alias("evidence")).join(labels, "doc_id", "left")
     scored = stored(scored.withColumn("add", F.coalesce("y", "evidence")), "evidence")
     paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("add").alias("s"))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
@@ -139,16 +145,15 @@ def quality(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int =
 
 
 def with_sites(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang, source) with host and path: of the first url that shows the document, else its source and source/lang.
+    """docs (doc_id, lang, source, further columns) with host and path: of the first url that shows the document, else its source and source/lang.
 
-    The path is the url's host and the first part of its path.
+    The path is the url's host and the first part of its path. Columns host and path of docs give way to these.
     """
     from spanwise.llm.html_extraction import doc_of_url
 
     urls = pages.select(doc_of_url(F.col("url")).alias("doc_id"), "url").where("doc_id is not null").groupBy("doc_id").agg(F.min("url").alias("url"))
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
     first = F.regexp_extract("url", r"^[a-z]+://[^/?#]+/([^/?#]*)/", 1)
-    sites = urls.select("doc_id", host.alias("host"), F.concat_ws("/", host, first).alias("path"))
-    return docs.select("doc_id", "text", "lang", "source").join(sites, "doc_id", "left").select(
-        "doc_id", "text", F.coalesce("host", "source").alias("host"), F.coalesce("path", F.concat_ws("/", "source", "lang")).alias("path")
-    )
+    sites = urls.select("doc_id", host.alias("_host"), F.concat_ws("/", host, first).alias("_path"))
+    out = docs.drop("host", "path").join(sites, "doc_id", "left")
+    return out.withColumns({"host": F.coalesce("_host", "source"), "path": F.coalesce("_path", F.concat_ws("/", "source", "lang"))}).drop("_host", "_path")

@@ -4,9 +4,11 @@ A text's whole UTF-8 form and each of its fixed chunks are compressed with zstan
 over bytes. Repetitive text compresses too well and random text too little, and what is usual depends on the length,
 because a compressor needs some text before it finds anything to share. So each length class has its own band, a
 table of documented limits. A text is rejected if its whole ratio leaves the band of its class, or if more than
-``bad_share`` of its full chunks leave the band of a chunk.
+``bad_share`` of its chunks leave the band of a chunk. Chunks have one size, so one band fits them: a text's last chunk are its
+last bytes, which may overlap the chunk before, so that every byte is judged; a text of one chunk or less has only its whole ratio.
 
-Defined cases: a null text is the empty text; it has no words and fails the base rules. Repeated rows are judged each.
+Defined cases: a null text is the empty text; it has no words and fails the base rules, as does a text of white space alone.
+Repeated rows are judged each; an empty table gives an empty result; very long texts take time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -60,7 +62,8 @@ def judge(text: str | None, ratio, chunk: int = CHUNK, bands=BANDS, chunk_band=C
     failed = len(w) < 50 or 100 * again > 50 * len(w)
     whole = ratio(raw) if raw else 0.0
     low, high = next((a, b) for size, a, b in bands if len(raw) <= size)
-    chunks = [raw[i : i + chunk] for i in range(0, len(raw) - chunk + 1, chunk)] if len(raw) > chunk else []
+    starts = [*range(0, len(raw) - chunk, chunk), len(raw) - chunk] if len(raw) > chunk else []
+    chunks = [raw[i : i + chunk] for i in starts]
     bad = sum(not chunk_band[0] <= ratio(c) <= chunk_band[1] for c in chunks)
     kept = not failed and low <= whole <= high and bad <= bad_share * len(chunks)
     return len(w), len(text) - spaces, symbols, dup, again, whole, len(chunks), bad, failed, kept

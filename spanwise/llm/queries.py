@@ -25,7 +25,8 @@ def op1_lbl_nce(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_hierarchical_eb(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanwise.llm.quality_classifier import quality, with_sites
 
-    return quality(with_sites(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")), table(spark, sf_dir, "labels"))
+    docs, pages = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), table(spark, sf_dir, "pages")
+    return quality(docs, table(spark, sf_dir, "labels"), place=lambda scored: with_sites(scored, pages))
 
 
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
