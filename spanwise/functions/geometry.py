@@ -162,3 +162,8 @@ def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
         return out[:-1]
 
     return side(pts) + side(reversed(pts))
+
+
+def orientation(a: Column, b: Column) -> Column:
+    """Direction from a to b in degrees, in (-180, 180]."""
+    return F.degrees(F.atan2(b["v"] - a["v"], b["u"] - a["u"]))

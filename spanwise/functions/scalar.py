@@ -71,3 +71,8 @@ def ordinal_suffix(name: Column) -> Column:
     letter = F.regexp_extract(name, r"_([a-h])$", 1)
     digits = F.regexp_extract(name, r"_(\d+)$", 1)
     return F.coalesce(F.when(letter != "", F.ascii(letter) - 96), digits.try_cast("int"))
+
+
+def is_subset(inner: Column, outer: Column) -> Column:
+    """Whether all members of a set are in another; an empty set is in any."""
+    return F.size(F.array_except(inner, outer)) == 0

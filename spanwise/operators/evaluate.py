@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.functions.scalar import recall_at, set_measures
+from spanwise.operators.features import CURVE_FEATURES
 from spanwise.operators.labels import Registry
-from spanwise.operators.mapper import map_queries
+from spanwise.operators.mapper import candidates, map_queries
 from spanwise.operators.models import Bank, source_weights, train
-from spanwise.operators.relational import index_percentile
+from spanwise.operators.relational import audit, cut, index_percentile
 
 SCORERS = ("rules", "logreg", "hybrid")
 
@@ -39,28 +40,41 @@ def as_queries(samples: DataFrame) -> DataFrame:
     return samples.select(F.col("sample_id").alias("query_id"), "section_id", "label_id", F.when(F.col("kind") == "specific", F.col("ordinal")).alias("ordinal"), none("int").alias("count"), none("string").alias("position"), F.lit(1.0).alias("text_score"))
 
 
-def leave_one_family_out(samples: DataFrame, tables: dict[str, DataFrame], families: DataFrame, variants: DataFrame | None = None, registry: Registry | None = None) -> DataFrame:
-    """Rows of all scorers and folds. tables: sections, points, curves, graph, curve_features, face_features; families (section_id, family).
+def leave_one_family_out(samples: DataFrame, tables: dict[str, DataFrame], families: DataFrame, registry: Registry | None = None) -> DataFrame:
+    """Rows of all scorers and folds. tables: sections, points, curves, graph, curve_features, face_features; families (section_id, family, source_id if there are variants).
 
-    A driver loop over families, one training and three answers each; variants (section_id, source_id) weigh with their source.
+    A fold trains on all families but one, with their variants, and answers the samples of that one. A section has one family, so
+    the folds' scores fit in one table, and each scorer answers all samples at once; variants of the family left out have the
+    split aug. A source and its variants weigh as one section.
     """
+    registry = registry or Registry()
+    families = families if "source_id" in families.columns else families.withColumn("source_id", F.col("section_id"))
     names = [r.family for r in families.select("family").distinct().orderBy("family").collect()]
-    weights = source_weights(variants) if variants is not None else None
-    out = None
+    weights = source_weights(families)
+    tables = {k: cut(df) for k, df in tables.items()}
+    samples, families = cut(samples), cut(families)
+    scored: dict[str, DataFrame] = {}
     for family in names:
-        rest = families.where(F.col("family") != family).select("section_id")
-        test = samples.where(F.col("family") == family)
-        bank = train(tables["curve_features"].join(rest, "section_id"), tables["face_features"].join(rest, "section_id"), samples.join(rest, "section_id"), weights)
+        of = families.select("section_id", (F.col("family") == family).alias("mine"))
+        rest, mine = of.where("not mine").select("section_id"), of.where("mine").select("section_id")
+        features = [tables[k] for k in ("curve_features", "face_features")]
+        bank = train(*(df.join(rest, "section_id") for df in features), samples.join(rest, "section_id"), weights)
+        here = [df.join(mine, "section_id") for df in features]
         for scorer in SCORERS:
-            answers = map_queries(as_queries(test), bank=Bank(bank.curves, bank.face, scorer), registry=registry, top_k=100, **tables)
-            rows = evaluate(test, answers, scorer)
-            out = rows if out is None else out.unionByName(rows)
+            one = candidates(registry, Bank(bank.curves, bank.face, scorer), *here, tables["graph"])
+            scored[scorer] = scored[scorer].unionByName(one) if scorer in scored else one
+    out, queries = None, as_queries(samples)
+    split = families.select("section_id", F.when(F.col("section_id") == F.col("source_id"), "orig").otherwise("aug").alias("split"))
+    for scorer, table in scored.items():
+        answers = map_queries(queries, registry=registry, top_k=100, scored=table, ready=True, **tables)
+        rows = evaluate(samples, answers, scorer).drop("split").join(split, "section_id")
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def summarise(rows: DataFrame) -> DataFrame:
     """Means overall and by label, family, kind and entity type, per scorer, in one grouping-sets query. Null recalls are skipped, empty means 0."""
-    keys = ["label_id", "family", "kind", "entity_type"]
+    keys = ["label_id", "family", "kind", "entity_type", "split"]
     mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4)
     return rows.groupingSets([["scorer"], *(["scorer", k] for k in keys)], "scorer", *keys).agg(F.count("*").alias("n"), *(mean(c).alias(c) for c in ("precision", "recall", "f1", "jaccard")), mean(F.col("exact").cast("double")).alias("exact_acc"), mean("cand_recall_at3").alias("cand_recall_at3"), mean("cand_recall_at20").alias("cand_recall_at20"))
 
@@ -84,3 +98,17 @@ def invariance(source_scores: DataFrame, variant_scores: DataFrame, lineage: Dat
     means = kids.join(v, ["variant_id", "child"]).groupBy("source_id", "variant_id", "label_id", "name").agg(F.avg("child_score").alias("mean"))
     both = means.join(source_scores.withColumnRenamed("section_id", "source_id"), ["source_id", "label_id", "name"])
     return both.groupBy("source_id", "variant_id", "label_id").agg(F.count("*").alias("n_pairs"), F.round(1 - F.avg(F.abs(F.col("score") - F.col("mean"))), 4).alias("consistency"))
+
+
+def feature_shift(source: DataFrame, variant: DataFrame, tried: DataFrame) -> DataFrame:
+    """(feature, mean_abs, unstable): how far a curve's features are from the mean of its pieces', over all source curves and over all features at once.
+
+    source and variant are feature tables (section_id, name, features), tried the accepted variants with their name_map.
+    """
+    kids = tried.select("section_id", "variant_id", F.explode("name_map").alias("name", "children")).select("section_id", "variant_id", "name", F.explode("children").alias("child"))
+    pairs = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in CURVE_FEATURES))
+    tall = lambda df: df.select("section_id", "name", F.explode(pairs).alias("x")).select("section_id", "name", "x.*")
+    after = tall(variant).select(F.col("section_id").alias("variant_id"), F.col("name").alias("child"), "feature", "value")
+    means = kids.join(after, ["variant_id", "child"]).groupBy("section_id", "variant_id", "name", "feature").agg(F.avg("value").alias("after"))
+    both = means.join(tall(source), ["section_id", "name", "feature"])
+    return audit(both, ["feature"], "value", "after")

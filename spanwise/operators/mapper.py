@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwise.functions.scalar import decision
@@ -16,9 +16,21 @@ THRESHOLD, CORNER, SPLINTER, NEAR = 0.5, 0.35, 0.05, 0.12
 
 
 def candidates(registry: Registry, bank: Bank, curve_features: DataFrame, face_features: DataFrame, graph: DataFrame) -> DataFrame:
-    """(label_id, section_id, kind, name, ord, score) of all curves and faces for all labels; splinters and cells with sub-cells are out."""
+    """(label_id, section_id, kind, name, ord, score, scorer, contributions) of all curves and faces for all labels; splinters and cells with sub-cells are out.
+
+    contributions names the features that add most to a model's score; rules have none.
+    """
     label = lambda row: row[0].rsplit(".", 1)[-1]
-    of = lambda kind, score: F.explode(F.array(*(F.struct(F.lit(row[0]).alias("label_id"), score(row).alias("score")) for row in registry.labels if row[2] == kind)))
+
+    def of(kind: str, score) -> Column:
+        rows = []
+        for row in registry.labels:
+            if row[2] == kind:
+                name, model = bank.scorer(label(row), kind == "face"), bank.face if kind == "face" else bank.curves.get(label(row))
+                why = model.contributions() if name != "rules" and model else F.array().cast("array<string>")
+                rows.append(F.struct(F.lit(row[0]).alias("label_id"), score(row).alias("score"), F.lit(name).alias("scorer"), why.alias("contributions")))
+        return F.explode(F.array(*rows))
+
     face = part(graph, "face").select("section_id", "face_id", "area", "parent", "is_sub")
     parents = face.where("is_sub").select("section_id", F.col("parent").alias("face_id")).distinct()
     largest = face.where("not is_sub").groupBy("section_id").agg(F.max("area").alias("most"))
@@ -26,7 +38,7 @@ def candidates(registry: Registry, bank: Bank, curve_features: DataFrame, face_f
     faces = face_features.join(keep, ["section_id", "face_id"]).select("section_id", F.col("face_id").alias("name"), "ord", of("face", lambda row: bank.face_score()).alias("s"))
     lines = curve_features.select("section_id", "name", "ord", of("curve", lambda row: bank.curve_score(label(row))).alias("s"))
     both = faces.withColumn("kind", F.lit("face")).unionByName(lines.withColumn("kind", F.lit("curve")))
-    return both.select("s.label_id", "section_id", "kind", "name", "ord", "s.score")
+    return both.select("s.label_id", "section_id", "kind", "name", "ord", "s.score", "s.scorer", "s.contributions")
 
 
 def instances(chosen: DataFrame, curves: DataFrame, graph: DataFrame) -> DataFrame:
@@ -58,19 +70,22 @@ def instances(chosen: DataFrame, curves: DataFrame, graph: DataFrame) -> DataFra
     return by_curve.unionByName(by_face)
 
 
-def map_queries(queries: DataFrame, sections: DataFrame, points: DataFrame, curves: DataFrame, graph: DataFrame, curve_features: DataFrame, face_features: DataFrame, bank: Bank, registry: Registry | None = None, top_k: int = 10, compat: bool = False) -> DataFrame:
+def map_queries(queries: DataFrame, sections: DataFrame, points: DataFrame, curves: DataFrame, graph: DataFrame, curve_features: DataFrame, face_features: DataFrame, bank: Bank | None = None, registry: Registry | None = None, top_k: int = 10, compat: bool = False, scored: DataFrame | None = None, ready: bool = False) -> DataFrame:
     """queries (query_id, section_id, text, or with label_id, ordinal, count, position, text_score resolved) to one answer each.
 
     query_id, section_id, label_id, decision, confidence, targets (kind, name, runtime id, stable reference), instances,
-    derived points and curves, candidates, evidence. Selectors apply in turn: position, ordinal, count.
+    derived points and curves, candidates, scorer and contributions of the best candidate, evidence. Selectors apply in turn:
+    position, ordinal, count. scored: ``candidates`` made before, of one bank or of several for different sections. ready: the
+    tables are cut already, as by a caller that asks more than once.
     """
     registry = registry or Registry()
     asked = queries if "label_id" in queries.columns else resolve(queries, registry, compat)
-    sections, points, curves, graph = (cut(x) for x in (sections, points, curves, graph))
+    if not ready:
+        sections, points, curves, graph = (cut(x) for x in (sections, points, curves, graph))
     have = sections.select("section_id", "section_name", F.greatest("width", F.lit(1e-9)).alias("W"), F.greatest("height", F.lit(1e-9)).alias("H"))
     asked = asked.join(have, "section_id", "left").withColumn("entity_type", registry.entity_type(F.col("label_id")))
     asked = cut(asked)
-    scored = candidates(registry, bank, curve_features, face_features, graph)
+    scored = scored if scored is not None else candidates(registry, bank, curve_features, face_features, graph)
     every = asked.where("label_id is not null and section_name is not null").join(scored, ["section_id", "label_id"])
     every = cut(every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ord"))))
     key = ["query_id", "section_id"]
@@ -98,7 +113,7 @@ def map_queries(queries: DataFrame, sections: DataFrame, points: DataFrame, curv
     answer = inst.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("at", "kind", "names", "points", "boundary", "score"))).alias("instances"), F.avg("score").alias("mean"), F.max(F.col("mismatch").cast("int")).alias("mismatch"), F.max("n").alias("n"),
     )
-    top = every.where(F.col("rank") <= top_k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "name", F.round("score", 4).alias("score")))).alias("candidates"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top_score"))
+    top = every.where(F.col("rank") <= top_k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "name", F.round("score", 4).alias("score")))).alias("candidates"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top_score"), *(F.max(F.when(F.col("rank") == 1, F.col(c))).alias(c) for c in ("scorer", "contributions")))
     any_face = part(graph, "face").select("section_id").distinct().withColumn("has_face", F.lit(True))
     out = asked.join(answer, "query_id", "left").join(late, "query_id", "left").join(top, "query_id", "left").join(any_face, "section_id", "left")
     confidence = F.coalesce(F.col("mean") * F.col("text_score"), F.when(F.col("out_of_range") == 1, 0.0), F.col("top_score"), F.lit(0.0))
@@ -116,5 +131,5 @@ def map_queries(queries: DataFrame, sections: DataFrame, points: DataFrame, curv
     return out.select(
         "query_id", "section_id", "label_id", "entity_type", "ordinal", "count", "position", verdict.alias("decision"), F.when(known, F.round(confidence, 4)).otherwise(0.0).alias("confidence"),
         F.coalesce(names, F.array()).alias("targets"), F.array_distinct(F.flatten(F.transform("instances", lambda i: F.when(i["kind"] == "point", none).otherwise(i["points"])))).alias("derived_points"),
-        F.array_distinct(F.flatten(F.transform("instances", lambda i: i["boundary"]))).alias("derived_curves"), "instances", "candidates", why.alias("evidence"),
+        F.array_distinct(F.flatten(F.transform("instances", lambda i: i["boundary"]))).alias("derived_curves"), "instances", "candidates", "scorer", F.coalesce("contributions", none).alias("contributions"), why.alias("evidence"),
     )

@@ -1,7 +1,7 @@
 """Scores of curves, faces and points for labels: rules, a logistic model per label, and their mean.
 
-Features are wide tables (section_id, name, features...). Scoring is expressions; fitting takes the few hundred rows of a
-label's sections to numpy.
+Features are wide tables (section_id, name, features...). Scoring is expressions; fitting takes a bounded number of labelled
+rows to numpy.
 """
 
 from __future__ import annotations
@@ -10,11 +10,12 @@ import json
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.functions.scalar import sigmoid
 from spanwise.operators.features import CURVE_FEATURES, FACE_FEATURES
+from spanwise.operators.relational import source_weights as source_weights_of
 from spanwise.operators.topology import part
 
 #: Rule weights by label; "open" stands for 1 - section_closed, a * b for a product, 1-x for a complement.
@@ -30,6 +31,8 @@ CURVE_RULES = {
 NO_RULE = -1.5
 DEEP_WAIST = 0.6
 MIN_SECTIONS, MIN_POSITIVES, MOST_CLASS_WEIGHT = 2, 2, 12.0
+#: Bound of the labelled entities that models are fitted on.
+MAX_ROWS = 200_000
 
 
 def _term(name: str) -> Column:
@@ -150,20 +153,29 @@ class Bank:
         return Bank({k: Logistic(**m) for k, m in body["curves"].items()}, Logistic(**body["face"]) if body["face"] else None, mode)
 
 
-def train(curve_features: DataFrame, face_features: DataFrame, samples: DataFrame, weights: DataFrame | None = None, mode: str = "logreg") -> Bank:
+def _bounded(rows: DataFrame, most: int, *name: str) -> DataFrame:
+    """About ``most`` rows by the hash of their names, all if there aren't more."""
+    n = rows.count()
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64(*name, F.lit(17)), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+
+
+def train(curve_features: DataFrame, face_features: DataFrame, samples: DataFrame, weights: DataFrame | None = None, mode: str = "logreg", max_rows: int = MAX_ROWS) -> Bank:
     """A model for each label with generic samples in two sections and two positives at least.
 
     Negatives come only from sections that have the label. weights (section_id, weight): a source and its variants share 1.
+    Models are fitted on the driver from a sample of about ``max_rows`` labelled entities of all labels together.
     """
     generic = samples.where("kind = 'generic'").withColumn("label", F.element_at(F.split("label_id", r"\."), -1))
     weighted = lambda df: df.withColumn("_w", F.lit(1.0)) if weights is None else df.join(weights.withColumnRenamed("weight", "_w"), "section_id", "left").na.fill(1.0, ["_w"])
     bank = Bank(mode=mode)
     rows = generic.where("entity_type = 'curve'").select("section_id", "label", "target_curves").join(curve_features, "section_id")
+    rows = _bounded(rows, max_rows, "section_id", "name", "label")
     got = weighted(rows.withColumn("_y", F.array_contains("target_curves", F.col("name")).cast("double"))).select("label", "section_id", "ord", "_y", "_w", *CURVE_FEATURES).orderBy("label", "section_id", "ord").toPandas()
     for label, g in got.groupby("label", sort=True):
         if g["section_id"].nunique() >= MIN_SECTIONS and g["_y"].sum() >= MIN_POSITIVES:
             bank.curves[label] = Logistic(list(CURVE_FEATURES)).fit(g[CURVE_FEATURES].to_numpy(float), g["_y"].to_numpy(), g["_w"].to_numpy())
     rows = generic.where("entity_type = 'face'").select("section_id", "target_faces").join(face_features, "section_id")
+    rows = _bounded(rows, max_rows, "section_id", "face_id")
     got = weighted(rows.withColumn("_y", F.array_contains("target_faces", F.col("face_id")).cast("double"))).select("section_id", "ord", "_y", "_w", *FACE_FEATURES).orderBy("section_id", "ord").toPandas()
     if got["section_id"].nunique() >= MIN_SECTIONS and got["_y"].sum() >= MIN_POSITIVES:
         bank.face = Logistic(list(FACE_FEATURES)).fit(got[FACE_FEATURES].to_numpy(float), got["_y"].to_numpy(), got["_w"].to_numpy())
@@ -172,4 +184,4 @@ def train(curve_features: DataFrame, face_features: DataFrame, samples: DataFram
 
 def source_weights(variants: DataFrame) -> DataFrame:
     """variants (section_id, source_id, originals with themselves as source): 1 / size of the source's group."""
-    return variants.select("section_id", (1 / F.count("*").over(Window.partitionBy("source_id"))).alias("weight"))
+    return source_weights_of(variants, ["source_id"]).select("section_id", "weight")

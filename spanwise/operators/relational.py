@@ -5,6 +5,7 @@ Order is data here: every operator that picks "first" takes an explicit order, n
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,18 +21,46 @@ def arg_best(df: DataFrame, key: Sequence[str], order: Sequence[Column], k: int
     return out if rank else out.drop(name)
 
 
-def with_position_rank(df: DataFrame, key: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
-    part = Window.partitionBy(*key)
-    return df.withColumn(name, position_rank(F.row_number().over(part.orderBy(*order)), F.count("*").over(part)))
+def ranked(df: DataFrame, key: Sequence[str], order: Sequence[str], rank: str = "rank", size: str | None = None) -> DataFrame:
+    """df with each row's place in its key's order, from 1, and the key's size, for keys of any size. order: columns, "-" before one that descends.
 
-
-def index_percentile(df: DataFrame, key: Sequence[str], value: str, order: Sequence[Column] = ()) -> DataFrame:
+    Rows are range-partitioned by key and order, so that a key of a third of all rows lies on as many tasks as its share. A row's
+    place is its place in its part plus the rows of the key's parts before; only parts are ever ordered whole.
+    """
+    cols = df.columns
+    sort = [F.col(c[1:]).desc_nulls_last() if c[0] == "-" else F.col(c).asc_nulls_first() for c in order]
+    parts = cut(df.repartitionByRange(*(F.col(c) for c in key), *sort).withColumn("_p", F.spark_partition_id()))
+    counts = parts.groupBy(*key, "_p").agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*key)
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*key, "_p", before.alias("_before"), F.sum("_n").over(group).alias("_size"))
+    here = F.row_number().over(Window.partitionBy(*key, "_p").orderBy(*sort))
+    keys = [*key, "_p"]
+    both = parts.withColumn("_r", here).alias("a").join(counts.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys])
+    return both.select(*(F.col(f"a.{c}") for c in cols), (F.col("_r") + F.col("_before")).cast("long").alias(rank), *([F.col("_size").alias(size)] if size else []))
+
+
+def with_position_rank(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    return ranked(df, key, order, "_r", "_n").withColumn(name, position_rank(F.col("_r"), F.col("_n"))).drop("_r", "_n")
+
+
+def neighbours(df: DataFrame, key: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """df with ``below`` and ``above``: structs of values of the rows before and after in the key's order, by two equal joins on places."""
+    rows = cut(ranked(df, key, order, "_r"))
+    other = lambda step, name: rows.select(*(F.col(c).alias(f"_{c}") for c in key), (F.col("_r") + step).alias("_at"), F.struct(*values).alias(name))
+    out = rows
+    for step, name in ((1, "below"), (-1, "above")):
+        side = other(step, name)
+        out = out.join(side, [*(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key), F.col("_r") == F.col("_at")], "left").drop("_at", *(f"_{c}" for c in key))
+    return out.drop("_r")
+
+
+def index_percentile(df: DataFrame, key: Sequence[str], value: str) -> DataFrame:
     """Per key: p50 = sorted[n // 2] and p95 = sorted[int(n * 0.95) - 1], the last for n = 1: rows are picked, not interpolated."""
-    part = Window.partitionBy(*key)
-    ranked = df.select(*key, value, F.row_number().over(part.orderBy(value, *order)).alias("_r"), F.count("*").over(part).alias("_n"))
+    rows = ranked(df.select(*key, value), key, [value], "_r", "_n")
     p95 = F.floor(F.col("_n") * 95 / 100)
     at = F.when(p95 < 1, F.col("_n")).otherwise(p95)
-    return ranked.groupBy(*key).agg(
+    return rows.groupBy(*key).agg(
         F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2) + 1, F.col(value))).alias("p50"),
         F.max(F.when(F.col("_r") == at, F.col(value))).alias("p95"),
         F.count("*").alias("n"),
@@ -49,11 +78,24 @@ def duplicates(df: DataFrame, key: Sequence[str], id_: str) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n_rows"), F.min(id_).alias("first_id")).where("n_rows > 1")
 
 
+def with_group(df: DataFrame, key: Sequence[str], **aggregates: Column) -> DataFrame:
+    """df with aggregates of its key's group: partial sums and a join back, where a window would gather the group in one task."""
+    per = df.groupBy(*(F.col(c).alias(f"_k_{c}") for c in key)).agg(*(a.alias(n) for n, a in aggregates.items()))
+    if not key:
+        return df.crossJoin(F.broadcast(per))  # one row
+    return df.join(per, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key]).drop(*(f"_k_{c}" for c in key))
+
+
 def standardise(df: DataFrame, value: str, key: Sequence[str] = (), name: str = "z", floor: float = 1e-9) -> DataFrame:
     """(value - mean) / population deviation; a deviation below the floor counts as 1."""
-    part = Window.partitionBy(*key)
-    std = F.stddev_pop(value).over(part)
-    return df.withColumn(name, (F.col(value) - F.avg(value).over(part)) / F.when(std < floor, F.lit(1.0)).otherwise(std))
+    out = with_group(df, key, _mean=F.avg(value), _std=F.stddev_pop(value))
+    return out.withColumn(name, (F.col(value) - F.col("_mean")) / F.when(F.col("_std") < floor, F.lit(1.0)).otherwise(F.col("_std"))).drop("_mean", "_std")
+
+
+def audit(pairs: DataFrame, key: Sequence[str], a: str, b: str, most: float = 0.1) -> DataFrame:
+    """Per key the mean absolute difference of two columns, and whether it is more than ``most``."""
+    mean = F.sum(F.abs(F.col(a) - F.col(b)).cast("decimal(28,6)")).cast("double") / F.count("*")
+    return pairs.groupBy(*key).agg(mean.alias("mean_abs"), (mean > most).alias("unstable"))
 
 
 def degrees(edges: DataFrame, a: str, b: str, key: Sequence[str] = ()) -> DataFrame:
@@ -96,12 +138,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def _ensure_checkpoints(df: DataFrame) -> None:
-    """Checkpoints go where the session says; a folder is set only where there is none, as in tests."""
-    sc = df.sparkSession.sparkContext
+    """Checkpoints go where the session says; a folder is set only on one machine, as in tests."""
+    session, sc = df.sparkSession, df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanwise-"))
+        at = session.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="spanwise-"))
 
 
 def class_of(n_branch: Column, n_end: Column, n_edges: Column) -> Column:
@@ -122,7 +165,7 @@ def grouping_means(df: DataFrame, sets: Sequence[Sequence[str]], values: Sequenc
 
 def source_weights(df: DataFrame, key: Sequence[str], name: str = "weight") -> DataFrame:
     """1 / size of the key's group: each source weighs 1 in all."""
-    return df.withColumn(name, 1 / F.count("*").over(Window.partitionBy(*key)))
+    return with_group(df, key, _n=F.count("*")).withColumn(name, 1 / F.col("_n")).drop("_n")
 
 
 def cooccurring(df: DataFrame, group: str, label: str) -> DataFrame:

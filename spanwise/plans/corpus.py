@@ -1,15 +1,16 @@
-"""The corpus job and a command line: build, train, evaluate, map, augment."""
+"""The corpus job and a command line: build, train, evaluate, map, export, augment, audit, extract, verify."""
 
 from __future__ import annotations
 
 import argparse
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.operators import augment, evaluate, features, mapper, models, silver, topology
+from spanwise.operators import augment, evaluate, features, labels, mapper, models, silver, topology, variants, verify
 from spanwise.plans import reports
-from spanwise.sources import files, sections
+from spanwise.sources import edges, files, sections
 
 
 def build(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -19,7 +20,7 @@ def build(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     meta, regions = files.read_annotations(spark, path)
     targets = silver.silver(s, p, c, graph, regions).persist()
     t = {"sections": s, "points": p, "curves": c, "graph": graph, "curve_features": features.curve_features(s, p, c, graph).persist(), "face_features": features.face_features(s, p, graph).persist()}
-    return {**t, "meta": meta, "targets": targets, "samples": silver.samples(targets, meta).persist()}
+    return {**t, "meta": meta, "regions": regions, "targets": targets, "samples": silver.samples(targets, meta).persist()}
 
 
 def tables_of(corpus: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -28,7 +29,7 @@ def tables_of(corpus: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="spanwise")
-    parser.add_argument("command", choices=["build", "train", "eval", "map", "export", "augment"])
+    parser.add_argument("command", choices=["build", "train", "eval", "map", "export", "augment", "audit-features", "extract", "verify", "all"])
     parser.add_argument("path")
     parser.add_argument("--out", default="out")
     parser.add_argument("--section")
@@ -37,35 +38,103 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--scorer", default="hybrid", choices=evaluate.SCORERS)
     parser.add_argument("--per-section", type=int, default=20)
     parser.add_argument("--seed", type=int, default=1)
+    parser.add_argument("--quota", type=int, default=0)
+    parser.add_argument("--variants", help="folder of variants written by augment")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("spanwise").getOrCreate()
+    if args.command == "extract":
+        edges.write(spark, args.path, args.out)
+        return 0
     corpus = build(spark, args.path)
-    t = tables_of(corpus)
-    if args.command == "build":
-        reports.write_lines(corpus["samples"], f"{args.out}/samples")
-        reports.write_lines(silver.report(corpus["targets"]), f"{args.out}/silver_report")
-    elif args.command == "train":
-        models.train(t["curve_features"], t["face_features"], corpus["samples"]).save(args.out)
-    elif args.command == "eval":
-        rows = evaluate.leave_one_family_out(corpus["samples"], t, corpus["meta"].select("section_id", "family"))
-        reports.write_lines(rows, f"{args.out}/rows")
-        reports.write_lines(evaluate.summarise(rows), f"{args.out}/summary")
-        reports.write_lines(evaluate.decisions(rows), f"{args.out}/decisions")
-    elif args.command == "map":
-        bank = models.Bank.load(args.model, args.scorer) if args.model else models.train(t["curve_features"], t["face_features"], corpus["samples"], mode=args.scorer)
-        asked = spark.createDataFrame([("q", args.section, args.query)], "query_id string, section_id string, text string")
-        for r in mapper.map_queries(asked, bank=bank, **t).toJSON().collect():
-            print(r)
-    elif args.command == "export":
-        reports.write_lines(reports.bundle(*(t[k] for k in ("sections", "points", "curves", "graph")), corpus["targets"]), f"{args.out}/bundle")
-    else:
-        labelled = corpus["targets"].where(~F.array_contains("flags", "synthetic")).select("section_id").distinct()
-        rows = topology.section_rows(t["sections"], t["points"], t["curves"]).join(labelled, "section_id", "left_semi")
-        tried = augment.settled(augment.attempts(rows, args.per_section, args.seed), augment.source_fingerprints(rows)).persist()
-        reports.write_lines(tried.where("reason = 'ok'"), f"{args.out}/variants")
-        reports.write_lines(augment.accounting(tried), f"{args.out}/accounting")
+    if args.command == "map":
+        return answer(spark, corpus, args.section, args.query, args.model, args.scorer)
+    steps = {
+        "build": built, "train": lambda c, a: trained(c).save(f"{a.out}/model.json"), "eval": evaluated, "augment": augmented, "audit-features": audited,
+        "export": lambda c, a: reports.write_lines(reports.bundle(*(c[k] for k in ("sections", "points", "curves", "graph")), c["targets"]), f"{a.out}/bundle"),
+    }
+    Path(args.out).mkdir(parents=True, exist_ok=True)
+    if args.command == "verify":
+        found = verified(corpus, args)
+        reports.write_lines(found, f"{args.out}/checks")
+        return int(bool(found.where("n > 0").count()))
+    for name in steps if args.command == "all" else [args.command]:
+        steps[name](corpus, args)
     return 0
 
 
+def trained(corpus: dict[str, DataFrame], mode: str = "logreg") -> models.Bank:
+    return models.train(corpus["curve_features"], corpus["face_features"], corpus["samples"], mode=mode)
+
+
+def answer(spark: SparkSession, corpus: dict[str, DataFrame], section: str, query: str, model: str | None, scorer: str) -> int:
+    """Print the answer to one query."""
+    bank = models.Bank.load(model, scorer) if model else trained(corpus, scorer)
+    asked = spark.createDataFrame([("q", section, query)], "query_id string, section_id string, text string")
+    for r in mapper.map_queries(asked, bank=bank, **tables_of(corpus)).toJSON().collect():
+        print(r)
+    return 0
+
+
+def built(corpus: dict[str, DataFrame], args: argparse.Namespace) -> None:
+    reports.write_lines(corpus["samples"], f"{args.out}/samples")
+    silver_report = silver.report(corpus["targets"])
+    reports.write_lines(silver_report, f"{args.out}/silver_report")
+    reports.write_report({"Weak labels": silver_report.orderBy("function")}, f"{args.out}/silver_markdown")
+
+
+def evaluated(corpus: dict[str, DataFrame], args: argparse.Namespace) -> None:
+    """Fold rows, summary and decisions; with --variants, accepted variants train and answer as well, and their consistency is reported."""
+    t, samples, families = tables_of(corpus), corpus["samples"], corpus["meta"].select("section_id", "family").withColumn("source_id", F.col("section_id"))
+    parts = {}
+    if args.variants:
+        tried = variants.read_variants(samples.sparkSession, args.variants)
+        both, new = with_variants(corpus, tried)
+        families = variants.families(corpus["meta"], tried)
+        samples = samples.unionByName(silver.samples(new, families.select("section_id", "family")))
+        bank = trained(corpus, args.scorer)
+        scores = lambda c: mapper.candidates(labels.Registry(), bank, c["curve_features"], c["face_features"], c["graph"]).where("kind = 'curve'").select("section_id", "label_id", "name", "score")
+        lineage = variants.accepted(tried).select(F.col("section_id").alias("source_id"), "variant_id", "name_map")
+        consistent = evaluate.invariance(scores(t), scores(both), lineage).groupBy("label_id").agg(F.count("*").alias("n"), F.avg("consistency").alias("consistency"))
+        parts["Consistency under edits"] = consistent.orderBy("label_id")
+        t = both
+    rows = evaluate.leave_one_family_out(samples, t, families).persist()
+    parts = {"Summary": evaluate.summarise(rows), "Decisions": evaluate.decisions(rows), **parts}
+    reports.write_lines(rows, f"{args.out}/rows")
+    reports.write_lines(parts["Summary"], f"{args.out}/summary")
+    reports.write_lines(parts["Decisions"], f"{args.out}/decisions")
+    reports.write_report(parts, f"{args.out}/evaluation")
+
+
+def with_variants(corpus: dict[str, DataFrame], tried: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The corpus' tables with those of accepted variants, and the variants' targets."""
+    more = {k: df.persist() for k, df in variants.tables(tried).items()}
+    new = variants.renumbered(variants.propagated(corpus["targets"], tried, corpus["graph"], more), more).persist()
+    more |= {"curve_features": features.curve_features(*(more[k] for k in ("sections", "points", "curves", "graph"))), "face_features": features.face_features(more["sections"], more["points"], more["graph"])}
+    return variants.union_tables(corpus, more, list(tables_of(corpus))), new
+
+
+def augmented(corpus: dict[str, DataFrame], args: argparse.Namespace) -> None:
+    tried, new, status = variants.generate(corpus, corpus["regions"], args.per_section, args.seed, args.quota)
+    reports.write_lines(variants.accepted(tried).orderBy("variant_id"), f"{args.out}/variants")
+    reports.write_lines(new, f"{args.out}/variant_targets")
+    reports.write_report({"Rejections": augment.accounting(tried), "Quota": status, "Clearance": augment.clearance_figures(tried), "Edits": verify.edit_counts(tried)}, f"{args.out}/augmentation")
+
+
+def audited(corpus: dict[str, DataFrame], args: argparse.Namespace) -> None:
+    """Per feature, how far splits alone move it: curves against the mean of their pieces, over one split of each section."""
+    rows = topology.section_rows(corpus["sections"], corpus["points"], corpus["curves"])
+    tried = augment.attempts(rows.withColumn("control", F.lit(None).cast(f"array<{topology.UV}>")), 1, args.seed, edits=["split"])
+    more, _ = with_variants(corpus, tried)
+    reports.write_lines(evaluate.feature_shift(corpus["curve_features"], more["curve_features"], variants.accepted(tried)), f"{args.out}/feature_audit")
+
+
+def verified(corpus: dict[str, DataFrame], args: argparse.Namespace) -> DataFrame:
+    """All checks of written variants (--variants), and their replay with the same seed."""
+    tried = variants.read_variants(corpus["samples"].sparkSession, args.variants)
+    _, new = with_variants(corpus, tried)
+    again, _, _ = variants.generate(corpus, corpus["regions"], args.per_section, args.seed, args.quota)
+    return verify.records(tried, new).unionByName(verify.replayed(tried, variants.accepted(again), ["variant_id", "fingerprint", "ops"]))
+
+
 if __name__ == "__main__":
     raise SystemExit(main())

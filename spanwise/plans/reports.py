@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,18 +11,21 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def markdown(df: DataFrame, title: str, limit: int = 200) -> str:
-    """A table of an aggregate that has few rows."""
-    rows = df.limit(limit).collect()
-    head = f"| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}"
-    return f"# {title}\n\n{head}\n" + "".join(f"| {' | '.join('' if x is None else str(x) for x in r)} |\n" for r in rows)
+def markdown(df: DataFrame, title: str) -> DataFrame:
+    """(ord, value): the lines of a table, whole. Rows keep the order of df; cells are made by Spark."""
+    cells = F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns))
+    head = f"# {title}\n\n| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}"
+    lines = df.select(F.monotonically_increasing_id().alias("ord"), F.concat(F.lit("| "), cells, F.lit(" |")).alias("value"))
+    return df.sparkSession.createDataFrame([(-1, head)], "ord long, value string").unionByName(lines)
 
 
-def write_report(parts: dict[str, DataFrame], path: str) -> str:
-    """Several aggregates as one markdown file on the driver."""
-    text = "\n".join(markdown(df, title) for title, df in parts.items())
-    Path(path).write_text(text, encoding="utf-8")
-    return text
+def write_report(parts: dict[str, DataFrame], path: str) -> None:
+    """Several aggregates as markdown, one after the other, written by Spark as text in one file."""
+    out = None
+    for k, (title, df) in enumerate(parts.items()):
+        lines = markdown(df, title).withColumn("part", F.lit(k))
+        out = lines if out is None else out.unionByName(lines)
+    out.coalesce(1).sortWithinPartitions("part", "ord").select("value").write.mode("overwrite").text(path)
 
 
 def bundle(sections: DataFrame, points: DataFrame, curves: DataFrame, graph: DataFrame, targets: DataFrame | None = None) -> DataFrame:

@@ -9,24 +9,34 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanwise.functions.scalar import number
+from spanwise.operators.relational import cut
 
-#: The statements of the macro format.
-_NUMBER = r"([-+\d.eE]+)"
-SECTION = r'(\w+)\s*=\s*theModel\.createSect\(\s*sectionName\s*=\s*"([^"]+)"'
-NODE = rf"(\w+)\s*=\s*theModel\.createSecNode\(\s*x\s*=\s*{_NUMBER}\s*,\s*y\s*=\s*{_NUMBER}\s*,\s*z\s*=\s*{_NUMBER}\s*,\s*theSect\s*=\s*(\w+)\s*\)"
-CURVE = r"(\w+)\s*=\s*theModel\.createSecCurve\(\s*start\s*=\s*(\w+)\s*,\s*end\s*=\s*(\w+)\s*,\s*theSect\s*=\s*(\w+)\s*\)"
+#: A call of the macro format, and an argument of one.
+CALL = r'(?:([A-Za-z_]\w*)\s*=\s*)?theModel\.(\w+)\(((?:"[^"]*"|[^")])*)\)'
+ARGUMENT = r'(\w+)\s*=\s*("[^"]*"|[^",\s]+)'
 
 
 def read_texts(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """(path, section_id, text) of all files with a suffix; section_id is the folder's name. Bad bytes are replaced."""
+    """(path, section_id, text, sha256) of all files with a suffix; section_id is the folder's name. Bad bytes are replaced."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("section_id"), F.decode("content", "UTF-8").alias("text"))
+    return files.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("section_id"), F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("sha256"))
 
 
-def statements(texts: DataFrame, pattern: str, names: list[str]) -> DataFrame:
-    """A row for each match, with its groups as columns and its place among the matches."""
-    found = texts.select("section_id", F.posexplode(F.expr(f"regexp_extract_all(text, r'{pattern}', 0)")).alias("ord", "match"))
-    return found.select("section_id", "ord", *(F.regexp_extract("match", pattern, i + 1).alias(n) for i, n in enumerate(names)))
+def statements(texts: DataFrame) -> DataFrame:
+    """(section_id, ord, var, call, args) of every call in macro texts, whatever it is named; args are (key, value) pairs without quotes.
+
+    A table of its own, so that each file is read and cut once.
+    """
+    all_ = lambda c, pattern: F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    found = texts.select("section_id", F.posexplode(all_(F.col("text"), CALL)).alias("ord", "m"))
+    group = lambda k: F.regexp_extract("m", CALL, k)
+    pair = lambda x: F.struct(F.regexp_extract(x, ARGUMENT, 1).alias("key"), F.regexp_replace(F.regexp_extract(x, ARGUMENT, 2), '"', "").alias("value"))
+    return cut(found.select("section_id", "ord", F.nullif(group(1), F.lit("")).alias("var"), group(2).alias("call"), F.transform(all_(group(3), ARGUMENT), pair).alias("args")))
+
+
+def argument(name: str) -> Column:
+    """The value of a call's argument, null if it has none."""
+    return F.get(F.filter("args", lambda a: a["key"] == name), F.lit(0))["value"]
 
 
 def last_value(df: DataFrame, key: list[str], values: list[str]) -> DataFrame:
@@ -46,12 +56,14 @@ def most_curves(points: DataFrame, curves: DataFrame) -> tuple[DataFrame, DataFr
 
 def macro_tables(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Points and curves (schema.POINTS, schema.CURVES) of macro texts; rows of unknown sections are dropped."""
-    sects = last_value(statements(texts, SECTION, ["var", "section_name"]), ["section_id", "var"], ["section_name"]).drop("ord")
-    nodes = statements(texts, NODE, ["name", "x", "y", "z", "var"]).join(sects, ["section_id", "var"])
+    calls = statements(texts)
+    of = lambda call, **named: calls.where(F.col("call") == call).select("section_id", "ord", "var", *(argument(a).alias(n) for n, a in named.items()))
+    sects = last_value(of("createSect", section_name="sectionName").where("var is not null"), ["section_id", "var"], ["section_name"]).drop("ord")
+    nodes = of("createSecNode", x="x", y="y", z="z", sect="theSect").withColumnsRenamed({"var": "name", "sect": "var"}).where("name is not null")
+    nodes = nodes.withColumns({c: number(F.col(c)) for c in "xyz"}).where("x is not null and y is not null and z is not null").join(sects, ["section_id", "var"])
     key = ["section_id", "section_name", "name"]
-    points = last_value(nodes, key, ["x", "y", "z"])
-    points = points.select("section_id", "section_name", F.lit("py").alias("source"), "name", "ord", *(number(F.col(c)).alias(c) for c in "xyz"))
-    lines = statements(texts, CURVE, ["name", "start", "end", "var"]).join(sects, ["section_id", "var"])
+    points = last_value(nodes, key, ["x", "y", "z"]).select("section_id", "section_name", F.lit("py").alias("source"), "name", "ord", "x", "y", "z")
+    lines = of("createSecCurve", start="start", end="end", sect="theSect").withColumnsRenamed({"var": "name", "sect": "var"}).where("name is not null and start is not null and end is not null").join(sects, ["section_id", "var"])
     no_control = F.lit(None).cast("struct<x: double, y: double, z: double>")
     curves = last_value(lines, key, ["start", "end"]).select("section_id", "section_name", F.lit("py").alias("source"), "name", "ord", "start", "end", no_control.alias("c1"), no_control.alias("c2"))
     return points, curves

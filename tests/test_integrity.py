@@ -9,4 +9,4 @@ def test_damaged_texts(spark, tmp_path):
     rows = [(1, "whole", 5), (2, "cut", 9), (3, None, 4), (4, "日本", 2), (5, None, None)]
     spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.check_name: r.n for r in QUERIES["integrity_audit"](spark, str(tmp_path)).collect()}
-    assert got == {"orphan_lines": 0, "duplicate_line_keys": 0, "orders_without_lines": 0, "hash_mismatches": 2}
+    assert got == {"orphan_lines": 0, "duplicate_line_keys": 0, "orders_without_lines": 0, "length_mismatches": 2}

@@ -32,7 +32,7 @@ def test_components(spark, folder):
     for a in SUPPLIERS:
         x, y = sorted((find(a), find((a * 7 + 3) % 1000)))
         root[y] = x
-    got = {r.node: r.component for r in QUERIES["components_whole"](spark, folder).collect()}
+    got = {r.node: r.component for r in QUERIES["components"](spark, folder).collect()}
     assert got == {x: find(x) for x in list(root)}
 
 
@@ -40,7 +40,7 @@ def test_degree_roles(spark, folder):
     cust = {k: c for k, c, _ in ORDERS}
     degree = Counter(n for a, b in {(f"c{cust[k]}", f"s{s}") for k, _, s in LINES} for n in (a, b))
     role = lambda d: "branch" if d > 2 else "junction" if d == 2 else "endpoint"
-    assert {(r.node, r.degree, r.role) for r in QUERIES["degree_roles_whole"](spark, folder).collect()} == {(n, d, role(d)) for n, d in degree.items()}
+    assert {(r.node, r.degree, r.role) for r in QUERIES["degree_roles"](spark, folder).collect()} == {(n, d, role(d)) for n, d in degree.items()}
 
 
 def test_topology_class(spark, folder):
@@ -51,6 +51,6 @@ def test_topology_class(spark, folder):
         edges[g] += 1
         degree[g].update([cust[k], -1 - s])
     want = {(g, edges[g], sum(x > 2 for x in d.values()), sum(x == 1 for x in d.values())) for g, d in degree.items()}
-    got = QUERIES["topology_class_whole"](spark, folder).collect()
+    got = QUERIES["topology_class"](spark, folder).collect()
     assert {(r.g, r.n_edges, r.n_branch, r.n_end) for r in got} == want
     assert all(r["class"] == ("branched" if r.n_branch else "open" if r.n_end else "closed") for r in got)
