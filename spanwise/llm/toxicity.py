@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from spanwise.llm.common import fold, some_of, stored
 
 #: Bounds of the samples that the classifier is fitted on.
-MAX_POSITIVE, MAX_UNLABELLED = 3000, 12_000
+MAX_POSITIVE, MAX_UNLABELLED = 3000, 9000
 MIN_TEXTS, MIN_Z = 2, 3.5
 STEPS, DECAY = 400, 3e-4
 BUCKETS, THRESHOLD = 1 << 22, 0.7
@@ -163,14 +163,28 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 1, folds: int
     if not n_pos or not n_unl:
         return Model({}, -30.0)
     kept = np.array(sorted(r.bucket for r in telling(bags_, n_pos, n_unl, min_texts, min_z).collect()), np.int64)
-    buckets = docs.sparkSession.createDataFrame(pd.DataFrame({"bucket": kept.astype(np.int32)}), "bucket int")
-    each = bags_.select("pos", "row", F.explode("bag").alias("bucket")).join(F.broadcast(buckets), "bucket")
-    # How many distinct words of a text have each feature that counts.
-    cells = each.groupBy("pos", "row", "bucket").agg(F.count("*").alias("n")).toPandas().sort_values(["pos", "row", "bucket"])
+    sent = docs.sparkSession.sparkContext.broadcast(kept)
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """How many distinct words of each text have each feature that counts, packed: a text is one small row."""
+        kept = sent.value
+        for b in batches:
+            found = []
+            for bag in b["bag"]:
+                at = np.searchsorted(kept, bag)
+                at = at[(at < len(kept)) & (kept[np.minimum(at, len(kept) - 1)] == bag)] if len(kept) else np.empty(0, np.int64)
+                found.append(np.unique(at, return_counts=True))
+            if found:
+                yield pd.DataFrame({"pos": b["pos"].to_numpy(), "row": b["row"].to_numpy(), "at": [x.astype(np.int32).tobytes() for x, _ in found], "n": [x.astype(np.int32).tobytes() for _, x in found]})
+
+    packed: dict[bool, list] = {True: [], False: []}
+    for r in bags_.mapInPandas(cells, "pos boolean, row long, at binary, n binary").toLocalIterator():
+        packed[r.pos].append((r.row, np.frombuffer(r.at, np.int32), np.frombuffer(r.n, np.int32)))
 
     def side(pos: bool, n: int) -> Rows:
-        x = cells[cells["pos"] == pos]
-        return Rows(np.searchsorted(kept, x["bucket"].to_numpy()), x["n"].to_numpy(float), np.unique(x["row"].to_numpy(), return_inverse=True)[1], n)
+        rows = sorted(packed.pop(pos), key=lambda x: x[0])
+        joined = lambda k: np.concatenate([x[k] for x in rows])
+        return Rows(joined(1).astype(np.int64), joined(2).astype(float), np.repeat(np.arange(n), [len(x[1]) for x in rows]), n)
 
     w, b = nn_pu(side(True, n_pos), side(False, n_unl), len(kept), min(0.9, max(0.01, toxic / n)))
     return Model({int(k): float(x) for k, x in zip(kept, w, strict=True)}, b)
