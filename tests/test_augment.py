@@ -155,15 +155,15 @@ def corpus_of(spark, tmp_path):
 
 
 def test_targets_follow(spark, tmp_path):
-    """Faces, curves, gates, numbers, quota and boxes of variants of a ladder."""
+    """Faces, curves, gates, numbers and boxes of variants of a ladder."""
     corpus = corpus_of(spark, tmp_path)
     assert {r.region_name: len(r.face_ids) for r in corpus["targets"].collect() if r.entity_type == "face"} == {f"chamber_{k}": 1 for k in (1, 2, 3)}
-    tried, new, status = variants.generate(corpus, corpus["regions"], per_section=4, quota=9, rounds=1)
+    tried, new, status = variants.generate(corpus, corpus["regions"], per_section=3)
     ok = {r.variant_id: r for r in tried.collect() if r.reason == "ok"}
     got: dict = {}
     for r in new.collect():
         got.setdefault(r.section_id, []).append(r)
-    assert ok.keys() == got.keys() and len(ok) > 3
+    assert ok.keys() == got.keys() and ok
     for v, rows in got.items():
         chambers = sorted((r for r in rows if r.label_id == variants.CHAMBER), key=lambda r: r.ordinal or 0)
         assert all(len(r.face_ids) == 1 for r in chambers) and len({r.face_ids[0] for r in chambers}) == len(chambers)
@@ -174,7 +174,6 @@ def test_targets_follow(spark, tmp_path):
         assert all(set(r.curve_names) <= names for r in rows)
         assert sum("synthetic" in r.flags for r in rows) == 1
     assert all(r.agreement == pytest.approx(1.0) for r in ok.values() if set(r.edits) <= {"scale", "rigid"} and r.agreement is not None)
-    assert any(r.agreement is not None for r in ok.values())
     assert {r.label for r in status.collect()} == {"chamber", "internal_web"}
 
 
@@ -183,19 +182,17 @@ def test_gates_on_targets(spark, tmp_path):
     corpus = corpus_of(spark, tmp_path)
     rows = topology.section_rows(corpus["sections"], corpus["points"], corpus["curves"])
     control = rows.withColumn("control", F.lit(None).cast("array<struct<u: double, v: double>>"))
-    tried = A.attempts(control, 4, seed=2).where("reason = 'ok' and not array_contains(edits, 'rib')").limit(2).cache()
-    assert tried.count() == 2
-    t = variants.tables(tried)
-    new = variants.propagated(corpus["targets"], tried, corpus["graph"], t).cache()
-    assert {r.reason for r in variants.judged(tried, corpus["targets"], new, corpus["regions"], t).collect()} == {"ok"}
-    web = F.col("region_name") == "web_1"
-    lost = new.withColumns({c: F.when(web, variants._none()).otherwise(F.col(c)) for c in ("curve_names", "point_names")})
-    assert {r.reason for r in variants.judged(tried, corpus["targets"], lost, corpus["regions"], t).collect()} == {"gate2_empty"}
-    met = new.unionByName(new.where(web).withColumns({"label_id": F.lit("dfc.x.notch"), "ord": F.lit(77)}))
-    assert {r.reason for r in variants.judged(tried, corpus["targets"], met, corpus["regions"], t).collect()} == {"gate3_cooccurrence"}
-    affine = tried.withColumn("edits", F.array(F.lit("scale"))).withColumn("frame", F.coalesce("frame", F.array(*map(F.lit, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)))))
-    other = new.withColumn("curve_names", F.when(web, F.array(F.lit("none"))).otherwise(F.col("curve_names")))
-    assert {r.reason for r in variants.judged(affine, corpus["targets"], other, corpus["regions"], t).collect()} == {"gate4_affine"}
+    tried = cut(A.attempts(control, 4, seed=2, edits=["scale"]).where("reason = 'ok'"))
+    names = [r.variant_id for r in tried.orderBy("counter").collect()]
+    assert len(names) == 4
+    t = {k: cut(df) for k, df in variants.tables(tried).items()}
+    new = cut(variants.propagated(corpus["targets"], tried, corpus["graph"], t))
+    web, of = F.col("region_name") == "web_1", lambda k: F.col("section_id") == names[k]
+    changed = new.withColumns({c: F.when(web & of(1), variants._none()).otherwise(F.col(c)) for c in ("curve_names", "point_names")})
+    changed = changed.unionByName(new.where(web & of(2)).withColumns({"label_id": F.lit("dfc.x.notch"), "ord": F.lit(77)}))
+    changed = changed.withColumn("curve_names", F.when(web & of(3), F.array(F.lit("none"))).otherwise(F.col("curve_names")))
+    got = {r.variant_id: r.reason for r in variants.judged(tried, corpus["targets"], changed, corpus["regions"], t).collect()}
+    assert [got[n] for n in names] == ["ok", "gate2_empty", "gate3_cooccurrence", "gate4_affine"]
 
 
 def test_copies_of_sources_fail(spark):

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from spanwise.operators import augment as A
-from spanwise.operators import variants, verify
+from spanwise.operators import topology, variants, verify
+from spanwise.operators.relational import cut
 from tests.test_augment import corpus_of
 
 
@@ -13,12 +14,13 @@ def counts(df):
 
 def test_release(spark, tmp_path):
     corpus = corpus_of(spark, tmp_path)
-    tried, new, _ = variants.generate(corpus, corpus["regions"], per_section=2)
-    ok = variants.accepted(tried).cache()
-    assert ok.count() > 0 and set(counts(verify.records(ok, new)).values()) == {0}
+    rows = topology.section_rows(corpus["sections"], corpus["points"], corpus["curves"]).withColumn("control", F.lit(None).cast(f"array<{topology.UV}>"))
+    ok = cut(variants.accepted(A.attempts(rows, 2, seed=3, edits=["scale"])))
+    new = cut(variants.propagated(corpus["targets"], ok, corpus["graph"], {k: cut(df) for k, df in variants.tables(ok).items()}))
+    assert ok.count() == 2 and set(counts(verify.records(ok, new)).values()) == {0}
     assert set(counts(verify.release(ok, ok.count(), 1)).values()) == {0} and counts(verify.release(ok, ok.count() + 2, 1))["record_count"] == 2
-    assert {r.edit for r in verify.edit_counts(ok).collect()} <= set(A.ORDER)
-    again, _, _ = variants.generate(corpus, corpus["regions"], per_section=2)
+    assert {r.edit: r.n for r in verify.edit_counts(ok).collect()} == {"scale": 2}
+    again = A.attempts(rows.repartition(3), 2, seed=3, edits=["scale"])
     columns = ["variant_id", "fingerprint", "ops", "reason"]
     assert set(counts(verify.replayed(ok, variants.accepted(again), columns)).values()) == {0}
     assert counts(verify.replayed(ok, ok.limit(ok.count() - 1), columns)) == {"lost_in_replay": 1, "new_in_replay": 0}
