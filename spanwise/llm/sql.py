@@ -37,4 +37,22 @@ o AS (SELECT p.doc_id, p.size, p.source_size, p.target, p.shard, p.source, e.quo
 SELECT doc_id, size, source_size, target, (complete * size + greatest(least(hi, (start + more) * {BLOCK}) - greatest(hi - size, start * {BLOCK}), 0) + greatest(least(hi, greatest(start + more - n, 0) * {BLOCK}) - (hi - size), 0))::BIGINT AS taken, shard, quota::BIGINT AS quota, source FROM o
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_sainte_lague": MIXING}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+#: Scores of every document that shares a term with an item.
+SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS t FROM documents),
+n AS (SELECT rid, doc_id, t, len(t)::BIGINT AS n FROM d WHERE len(t) > 0),
+a AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM n),
+i AS (SELECT row_number() OVER () AS iid, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+q AS (SELECT iid, item_id, term, count(*)::BIGINT AS times FROM (SELECT iid, item_id, unnest({_TERMS}) AS term FROM i) GROUP BY ALL),
+p AS (SELECT rid, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT rid, doc_id, n, unnest(t) AS term FROM n) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, a GROUP BY term, n_docs),
+s AS (SELECT iid, item_id, rid, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+ FROM p JOIN w USING (term) JOIN q USING (term), a GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_sainte_lague": MIXING, "op12_bit_sliced_impacts": SEARCH}
