@@ -86,6 +86,13 @@ def op12_bit_sliced_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_apriori_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 collocations; cases as in collocations."""
+    from spanwise.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lbl_nce, op2_hierarchical_eb, op3_compression_bands, op4_segment_edit_join, op5_nnpu_toxicity, op6_max_subsequence, op7_two_tier_tokens, op8_bagminhash, op9_bmw_bm25, op10_sainte_lague, op12_bit_sliced_impacts)
+    f.__name__: f for f in (op1_lbl_nce, op2_hierarchical_eb, op3_compression_bands, op4_segment_edit_join, op5_nnpu_toxicity, op6_max_subsequence, op7_two_tier_tokens, op8_bagminhash, op9_bmw_bm25, op10_sainte_lague, op12_bit_sliced_impacts, op13_apriori_phrases)
 }

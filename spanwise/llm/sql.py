@@ -55,4 +55,25 @@ r AS (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id
 SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 20
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_sainte_lague": MIXING, "op12_bit_sliced_impacts": SEARCH}
+_PART = "array_to_string(string_split(c.phrase, ' ')[{}:{}], ' ')"
+
+#: All runs of up to five words, counted.
+PHRASES = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, {_LOWER.format('text')} AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, unnest([array_to_string(ws[i:i + k - 1], ' ') FOR i IN range(1, len(ws) - k + 2)]) AS phrase FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(ws) >= k),
+n AS (SELECT lang, count(*)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*)::BIGINT AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, unnest(range(1, k)) AS j FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, c.a, l.a AS l, r.a AS r, n.n, (1000::HUGEINT * c.a * n.n) // (l.a::HUGEINT * r.a) AS score, j
+ FROM c JOIN n USING (lang) JOIN f l ON l.lang = c.lang AND l.phrase = {_PART.format(1, "j")} JOIN f r ON r.lang = c.lang AND r.phrase = {_PART.format("j + 1", "c.k")}),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+u AS (SELECT *, unnest(range(2, k)) AS m FROM f WHERE k > 2),
+v AS (SELECT *, unnest(range(1, k - m + 2)) AS i FROM u),
+x AS (SELECT lang, {_PART.format("i", "i + m - 1")} AS phrase, max(a) AS longer FROM v c GROUP BY ALL),
+y AS (SELECT b.* FROM b LEFT JOIN x ON x.lang = b.lang AND x.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 100 * a)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM y) WHERE rank <= 2000
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_sainte_lague": MIXING, "op12_bit_sliced_impacts": SEARCH, "op13_apriori_phrases": PHRASES}
