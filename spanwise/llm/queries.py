@@ -79,6 +79,13 @@ def op10_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op11_two_stage_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What substring dedup leaves of each document; cases as in suffix_dedup."""
+    from spanwise.llm.suffix_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op12_bit_sliced_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents for each benchmark item; cases as in impact_index."""
     from spanwise.llm.impact_index import ranked_search
@@ -94,5 +101,5 @@ def op13_apriori_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lbl_nce, op2_hierarchical_eb, op3_compression_bands, op4_segment_edit_join, op5_nnpu_toxicity, op6_max_subsequence, op7_two_tier_tokens, op8_bagminhash, op9_bmw_bm25, op10_sainte_lague, op12_bit_sliced_impacts, op13_apriori_phrases)
+    f.__name__: f for f in (op1_lbl_nce, op2_hierarchical_eb, op3_compression_bands, op4_segment_edit_join, op5_nnpu_toxicity, op6_max_subsequence, op7_two_tier_tokens, op8_bagminhash, op9_bmw_bm25, op10_sainte_lague, op11_two_stage_suffixes, op12_bit_sliced_impacts, op13_apriori_phrases)
 }

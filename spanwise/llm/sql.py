@@ -76,4 +76,18 @@ y AS (SELECT b.* FROM b LEFT JOIN x ON x.lang = b.lang AND x.phrase = b.phrase W
 SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM y) WHERE rank <= 2000
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_sainte_lague": MIXING, "op12_bit_sliced_impacts": SEARCH, "op13_apriori_phrases": PHRASES}
+#: All strings of 100 bytes, in hexadecimal.
+SUBSTRINGS = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+g AS (SELECT rid, doc_id, s, md5(substr(x, 2 * s + 1, 200)) AS h FROM (SELECT *, unnest(range(0, len(x) // 2 - 99)) AS s FROM d WHERE len(x) >= 200)),
+f AS (SELECT rid, s FROM (SELECT rid, s, rank() OVER (PARTITION BY h ORDER BY doc_id NULLS FIRST, s) AS r FROM g) WHERE r > 1),
+i AS (SELECT rid, s, sum(fresh) OVER (PARTITION BY rid ORDER BY s) AS span FROM (SELECT rid, s, (s - coalesce(lag(s) OVER (PARTITION BY rid ORDER BY s), -1000) > 100)::INT AS fresh FROM f)),
+o AS (SELECT rid, min(s) AS b, max(s) + 100 AS e FROM i GROUP BY rid, span),
+k AS (SELECT rid, count(*) AS n_spans, sum(e - b)::BIGINT AS n_removed FROM o GROUP BY rid),
+l AS (SELECT rid, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY b), 0) AS b, b AS e FROM o UNION ALL SELECT rid, max(e), 1000000000 FROM o GROUP BY rid),
+t AS (SELECT rid, string_agg(substr(x, 2 * b + 1, 2 * (e - b)), '' ORDER BY b) AS y FROM l JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
+FROM d LEFT JOIN k USING (rid) LEFT JOIN t USING (rid)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_sainte_lague": MIXING, "op11_two_stage_suffixes": SUBSTRINGS, "op12_bit_sliced_impacts": SEARCH, "op13_apriori_phrases": PHRASES}
