@@ -53,9 +53,12 @@ STRONG = frozenset("ad ads advert adverts advertisement advertising sponsored co
 COMPANIONS = frozenset("list box bar block area section links buttons posts articles wrap wrapper container inner outer item items slot unit left right top bottom main site page global primary secondary form widget toggle widgets icons bars panel".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|(?=<)|\Z)|<[a-zA-Z/][^>]*>|[^<]+|<", re.S)
+#: What isn't a proper tag ends at the next "<" at the latest, so no character is read more than a few times.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|(?=<)|\Z)|<[a-zA-Z/!?][^<>]*(?:>|(?=<)|\Z)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var wbr".split())
+#: Of the labelled sample: pages, and the most frequent names whose counts the driver gets.
+MAX_NAMES = 20_000
 MAX_PAGES, MIN_SEEN, LEAST, LOW, HIGH = 1500, 20, 0.05, 0.02, 0.5
 #: Limits of learned weights, so that a tag that is rare in labelled pages can't cut an article.
 MOST, MOST_INLINE = 1.0, 0.5
@@ -121,7 +124,7 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
         else:
             out.append(("open", name, m[3] or ""))
             if name in RAW and name not in unclosed and not (m[3] or "").rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.I).search(page, at)
+                end = re.compile(rf"</{re.escape(name)}(?![\w-])[^<>]*(?:>|(?=<)|\Z)", re.I).search(page, at)
                 if not end and name not in TO_END:
                     unclosed.add(name)
                     continue
@@ -265,20 +268,18 @@ def counted(page: str | None, text: str | None, weights: Weights) -> Counter:
 
 
 def weights_of(n: Counter, least: float = LEAST, min_seen: int = MIN_SEEN) -> Weights:
-    """Weights from the sum of what labelled pages add; the defaults without any."""
+    """Weights from the sum of what labelled pages add; the defaults without any. Where the fixed names exclude all inside words, tags keep their defaults, but features are learned."""
     total = {k: sum(v for (kind, _, x), v in n.items() if kind in ("tag", "word") and x == k) for k in (True, False)}
-    if not total[True]:
-        return Weights()
 
     def odds(kind: str, name: str) -> float:
         return math.log(((n[kind, name, True] + 1) / (total[True] + 1)) / ((n[kind, name, False] + 1) / (total[False] + 1)))
 
     scale = max(odds("word", ""), 0.3)
     tags = {}
-    for t in {name for kind, name, _ in n if kind == "tag"}:
+    for t in {name for kind, name, _ in n if kind == "tag" and total[True]}:
         most = MOST_INLINE if t in INLINE else MOST
         tags[t] = BORDER if t in BORDERS else min(-least, max(-most, odds("tag", t) / scale))
-    linked = n["word", "a", True] + n["word", "a", False]
+    linked = n["word", "a", True] + n["word", "a", False] if total[True] else 0
     never, always = set(), set()
     for f in {name for kind, name, _ in n if kind == "page"}:
         held, all_ = n["feature", f, True], n["feature", f, True] + n["feature", f, False]
@@ -313,8 +314,8 @@ def fit(pages: DataFrame, texts: DataFrame, max_pages: int = MAX_PAGES) -> Weigh
                 yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["kind", "name", "inside", "n"])
 
     sums = mine.join(some, "doc_id").select("html", "text").mapInPandas(count, "kind string, name string, inside boolean, n long").groupBy("kind", "name", "inside").agg(F.sum("n").alias("n"))
-    seen = sums.where(f"kind = 'page' and n >= {MIN_SEEN}").select("name").limit(20_000)
-    rows = sums.where("kind in ('tag', 'word')").limit(20_000).collect() + sums.where("kind in ('page', 'feature')").join(F.broadcast(seen), "name", "left_semi").select("kind", "name", "inside", "n").collect()
+    seen = sums.where(f"kind = 'page' and n >= {MIN_SEEN}").orderBy(F.desc("n"), "name").select("name").limit(MAX_NAMES)
+    rows = sums.where("kind in ('tag', 'word')").orderBy(F.desc("n"), "kind", "name", "inside").limit(MAX_NAMES).collect() + sums.where("kind in ('page', 'feature')").join(F.broadcast(seen), "name", "left_semi").select("kind", "name", "inside", "n").collect()
     return weights_of(Counter({(r.kind, r["name"], r.inside): r.n for r in rows}))
 
 

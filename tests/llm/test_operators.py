@@ -336,7 +336,8 @@ def test_language_model(spark, docs_of):
     again = {r["doc_id"]: r["score"] for r in collected(language_model.scores(marked, language_model.word_counts(marked), vocab, model))}
     assert all(math.isclose(again[i], s, rel_tol=1e-4, abs_tol=1e-3) for i, s in score.items())
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
-    assert math.isclose(sum(r["score"] for r in got), sum(collected(language_model.lm_scores(docs, **how))[k]["score"] for k in range(len(got))), rel_tol=1e-6)
+    rerun = collected(language_model.lm_scores(docs, **how))
+    assert math.isclose(sum(r["score"] for r in got), sum(r["score"] for r in rerun), rel_tol=1e-6)
     assert language_model.lm_scores(docs_of([])).count() == 0
 
 
@@ -420,6 +421,40 @@ def test_html_keeps_whole_articles():
     assert get(f'<div class="ad"><p>{b}</p><div class="blurb">{a}</div></div>', learned) == b
 
 
+def test_html_region_is_the_best(spark):
+    """Whole extraction with the region found by trying all regions."""
+    rng = random.Random(8)
+    for _ in range(150):
+        page = "".join(rng.choice(["<p>", "</p>", "<div>", "</div>", "<a href='/'>", "</a>", "<nav>", "</nav>", "<article>", "</article>", "<br>", "<h1>", "</h1>", "one two ", "three", " four five six "]) for _ in range(rng.randrange(14)))
+        w = html_extraction.Weights()
+        toks = html_extraction.tokens(page)
+        out = html_extraction.excluded(toks, w)
+        scores = html_extraction.scored(toks, out, w)
+        if not any(x > 0 for x in scores):
+            scores = [w.word if s < 0 and k == "text" and not o and t.strip() else s for s, (k, t, _), o in zip(scores, toks, out, strict=True)]
+        regions = [(sum(scores[a:b]), -a, b) for a in range(len(toks)) for b in range(a + 1, len(toks) + 1)]
+        best = max(regions, default=(0, 0, 0))
+        _, a, b = best if best[0] > 0 else (0, 0, 0)
+        text = "".join(("\n" if t in html_extraction.BLOCKS else " " if t == "br" else "") if k != "text" else "" if o else t for (k, t, _), o in zip(toks[-a:b], out[-a:b], strict=True))
+        want = "\n".join(x for x in (" ".join(line.split()) for line in text.split("\n")) if x)
+        got = html_extraction.extract(page, w)
+        assert sorted(got.split()) == sorted(want.split()) and got == want, page
+
+
+def test_html_takes_linear_time():
+    """Unclosed tags, quotes, comments and scripts: four times the page takes about four times as long."""
+    import time
+
+    def took(page):
+        began = time.process_time()
+        html_extraction.extract(page, html_extraction.Weights())
+        return time.process_time() - began
+
+    for part in ("</ ", "<! ", "<? ", "<a '", '<a "', "<a x=' \" ", "<!-- ", "</script ", "<svg ", "<div ", "< "):
+        page = "<p>some words</p><script>" * (part == "</script ") + part * 10_000
+        assert took(page * 8) < 24 * took(page) + 0.3, part
+
+
 def test_html_fit_and_odd_tables(spark):
     """What is learned over Spark equals what is learned in one place; empty tables, very long, repeated and null rows."""
     rng = random.Random(6)
