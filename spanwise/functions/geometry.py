@@ -15,10 +15,10 @@ def bezier(p0: str, q1: str, q2: str, p1: str, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.struct(at(i / n, "u").alias("u"), at(i / n, "v").alias("v")))
 
 
-def _pairs(poly: str, closed: bool) -> Column:
+def _pairs(poly: str | Column, closed: bool) -> Column:
     """Neighbours of a polyline or of a closed polygon, as structs (a, b)."""
     other = F.concat(F.slice(poly, 2, F.greatest(F.size(poly) - 1, F.lit(0))), F.slice(poly, 1, 1)) if closed else F.slice(poly, 2, F.greatest(F.size(poly) - 1, F.lit(0)))
-    first = F.col(poly) if closed else F.slice(poly, 1, F.greatest(F.size(poly) - 1, F.lit(0)))
+    first = (F.col(poly) if isinstance(poly, str) else poly) if closed else F.slice(poly, 1, F.greatest(F.size(poly) - 1, F.lit(0)))
     return F.zip_with(first, other, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
@@ -26,7 +26,7 @@ def polyline_length(poly: str) -> Column:
     return F.aggregate(_pairs(poly, False), F.lit(0.0), lambda s, x: s + F.hypot(x["b"]["u"] - x["a"]["u"], x["b"]["v"] - x["a"]["v"]))
 
 
-def signed_area(poly: str) -> Column:
+def signed_area(poly: str | Column) -> Column:
     """Shoelace; anticlockwise is positive."""
     return F.aggregate(_pairs(poly, True), F.lit(0.0), lambda s, x: s + x["a"]["u"] * x["b"]["v"] - x["b"]["u"] * x["a"]["v"]) / 2
 
@@ -109,6 +109,39 @@ def bounds(poly: str) -> list[Column]:
     return [F.array_min(u), F.array_min(v), F.array_max(u), F.array_max(v)]
 
 
+def clipped(poly: Column, axis: str, at: Column, above: bool) -> Column:
+    """A polygon's part on one side of an axis-parallel line: each corner inside stays, each edge that changes sides adds the place where it does."""
+    other = "v" if axis == "u" else "u"
+    inside = lambda p: p[axis] >= at if above else p[axis] <= at
+    none = F.slice(poly, 1, 0)
+
+    def of(x: Column) -> Column:
+        p, q = x["a"], x["b"]
+        t = (at - p[axis]) / (q[axis] - p[axis])
+        place = {axis: at, other: p[other] + t * (q[other] - p[other])}
+        cut = (inside(p) != inside(q)) & (F.abs(q[axis] - p[axis]) > 1e-6)
+        return F.concat(F.when(inside(p), F.array(p)).otherwise(none), F.when(cut, F.array(F.struct(place["u"].alias("u"), place["v"].alias("v")))).otherwise(none))
+
+    return F.flatten(F.transform(_pairs(poly, True), of))
+
+
+def clipped_to_box(poly: Column, box: list[Column], use) -> Column:
+    """use(part) of a polygon's part in a rectangle (u0, v0, u1, v1); each of the four cuts is computed once."""
+    steps = [("u", box[0], True), ("u", box[2], False), ("v", box[1], True), ("v", box[3], False)]
+
+    def after(k: int, part: Column) -> Column:
+        return use(part) if k == 4 else bound(clipped(part, *steps[k]), lambda p: after(k + 1, p))
+
+    return after(0, poly)
+
+
+def polygon_box_iou(poly: Column, box: list[Column]) -> Column:
+    """Intersection over union of a polygon and a rectangle (u0, v0, u1, v1); 0 where less than a triangle is left or nothing has area."""
+    inter = clipped_to_box(poly, box, lambda p: F.when(F.size(p) < 3, 0.0).otherwise(F.abs(signed_area(p))))
+    whole = F.abs(signed_area(poly)) + F.greatest(box[2] - box[0], F.lit(0.0)) * F.greatest(box[3] - box[1], F.lit(0.0))
+    return bound(inter, lambda i: F.when(whole - i > 1e-6, i / (whole - i)).otherwise(0.0))
+
+
 def clip(poly: list[tuple[float, float]], axis: int, at: float, keep_above: bool) -> list[tuple[float, float]]:
     """A polygon's part on one side of an axis-parallel line (for kernels)."""
     out = []

@@ -127,6 +127,8 @@ def graph_components(edges: DataFrame, a: str, b: str, key: Sequence[str] = (),
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = links.select(*key, F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.join(found, [*key, "node"], "left").withColumn("component", F.coalesce("component", "node"))
 
@@ -181,7 +183,7 @@ def longest_alias(texts: DataFrame, text: str, aliases: DataFrame, key: Sequence
 
     Aliases are a registry of a few hundred rows at most, so they are folded into one row and matched in place.
     """
-    rows = aliases.orderBy(F.length("alias").desc(), "ord").select("alias", "label").collect()
+    rows = aliases.orderBy(F.length("alias").desc(), "ord").select("alias", "label").limit(2001).collect()
     if len(rows) > 2000:
         raise ValueError("an alias registry of over 2000 rows needs a join by word, not this operator")
     alias, label = F.lit(None).cast("string"), F.lit(None).cast("string")

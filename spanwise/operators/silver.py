@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from spanwise.functions.geometry import inside_fraction, polygon_rect_iou, resampled
+from spanwise.functions.geometry import inside_fraction, polygon_box_iou, resampled
 from spanwise.functions.scalar import ordinal_suffix
 from spanwise.operators.labels import Registry
 from spanwise.operators.relational import cut
@@ -34,11 +32,6 @@ def normalised(regions: DataFrame) -> DataFrame:
     return out.withColumns({"x0": at(F.col("x")), "y0": at(F.col("y")), "x1": at(F.col("x") + du), "y1": at(F.col("y") + dv)})
 
 
-@F.pandas_udf(T.DoubleType())
-def box_iou(polygon: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
-    return pd.Series([polygon_rect_iou([(q["u"], q["v"]) for q in p], (a, b, c, d)) for p, a, b, c, d in zip(polygon, x0, y0, x1, y1, strict=True)], dtype="float64")
-
-
 def silver(sections: DataFrame, points: DataFrame, curves: DataFrame, graph: DataFrame, regions: DataFrame, registry: Registry | None = None) -> DataFrame:
     """Targets of all regions, for the annotation frame, as drawn or mirrored in u, that fits a section better, and the outer contour of closed sections.
 
@@ -101,7 +94,7 @@ def _faces(regions: DataFrame, graph: DataFrame, key: list[str]) -> DataFrame:
     """The face with the greatest overlap; cells come before sub-cells among equals. A low overlap is flagged, but kept."""
     boxes = regions.where("function = 'enclosed' and x0 is not null")
     face = part(graph, "face").select("section_id", "face_id", F.col("ord").alias("f_ord"), "polygon", F.col("curves").alias("curve_names"), F.col("points").alias("point_names"))
-    pairs = boxes.select(*key, "x0", "y0", "x1", "y1").join(face, "section_id").withColumn("iou", box_iou("polygon", "x0", "y0", "x1", "y1"))
+    pairs = boxes.select(*key, "x0", "y0", "x1", "y1").join(face, "section_id").withColumn("iou", polygon_box_iou(F.col("polygon"), [F.col(c) for c in ("x0", "y0", "x1", "y1")]))
     best = pairs.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("iou"), "f_ord"))).where("r = 1")
     low = F.when(F.col("iou") < LEAST_IOU, F.array(F.format_string("low_iou:%.2f", "iou"))).otherwise(F.array().cast("array<string>"))
     return _full(best, None, F.array("face_id"), low, F.col("iou"))

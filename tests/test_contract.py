@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from spanwise.contract import drawings  # noqa: F401  (registers its queries)
+from spanwise.contract import drawings, shapes  # noqa: F401  (register their queries)
 from spanwise.contract.queries import QUERIES, SQL
 
 SF = os.environ.get("CONTRACT_SF_DIR", "/root/testdata/sf0.001")
