@@ -1,57 +1,60 @@
 """Phrase collocations by level-wise (Apriori) passes.
 
 A phrase is 2 to ``longest`` words in a row of one piece of a text; its language is the document's, and everything is counted by
-language. Pass k counts phrases of k words. It is given which phrases of k - 1 words are frequent, and emits a phrase of k words
-only where both of its overlapping parts are, as no other can be frequent. The frequent ones of each level are a table.
-Cutting a phrase in two gives parts that are frequent, too, so all that the scores need stands in the tables of the levels.
+language. Pass 1 counts words. Texts are then coded once: a frequent word becomes a 64-bit code, all else, ends of pieces too, a gap that no
+frequent phrase can hold. Pass k counts phrases of k words: it is given which phrases of k - 1 words are frequent, and emits one of
+k words only where both of its overlapping parts are. Cutting a frequent phrase in two gives frequent parts, so all that the
+scores need stands in the tables of the levels.
 
-Tasks count in memory and send sums of a bounded number of phrases at a time. What is broadcast is a bitmap over hashes of the
-frequent phrases, built where they are, of at most 2**28 bits whatever their number: a bit that two phrases share may let
-a phrase be counted in vain, and its exact count then tells. Scores are whole numbers of up to 38 digits, so they are exact.
+A pass emits hashes with counts, in parts; hashes whose sum is large enough are candidates, and the next pass counts these again by
+their words, so no two phrases are ever taken for one. What is broadcast is a bitmap over hashes, built where they are, of at most 2**28 bits
+whatever their number: a bit that two phrases share may let a phrase be counted in vain, and its exact count then tells. Scores
+are whole numbers of up to 38 digits, so they are exact.
 
 Defined cases: a null or empty text has no piece; a null language is ``und``, and so counts with documents that say ``und``;
-repeated rows count each; a piece of any length counts whole. Ties go to higher counts, then to the phrase that is first in the
+repeated rows count each; a text of any length counts whole. Ties go to higher counts, then to the phrase that is first in the
 order of UTF-8 bytes. Empty tables give no rows. Only lang and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwise.llm.common import stored
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-CHUNK, FLUSH, WORDS = 1 << 22, 400_000, 400_000
+#: Words that are hashed at once; entries that a task holds before it sends them; words whose codes a worker keeps.
+CHUNK, FLUSH, WORDS = 1 << 20, 1 << 20, 400_000
 #: Bits for each frequent phrase, and the binary logarithm of most of all.
 SPARSE, MOST_BITS, SEGMENT_BITS = 64, 28, 20
 #: What ends a piece becomes a byte that UTF-8 never has; a tab is a space.
 ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\xff" * 10 + b" ")
+BLANKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b" " * 11)
 UNKNOWN, SALT = "und", 64
 
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 
 
-class Codes(dict):
-    """Word to a 64-bit code above 0; kept for a bounded number of words. The end of a piece is 0."""
+def code_of(word: bytes) -> int:
+    """64 bits, never 0."""
+    return xxhash.xxh3_64_intdigest(word) | 1
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS:
-            self.clear()
-        n = self[word] = 0 if word == b"\xff" else xxhash.xxh3_64_intdigest(word) | 1
-        return n
+
+def seed_of(lang: str) -> int:
+    return xxhash.xxh3_64_intdigest(lang.encode())
 
 
-def hashes(codes: np.ndarray, k: int, lang: str) -> np.ndarray:
-    """Of k words from each place on, with the language."""
-    h = np.full(max(0, len(codes) - k + 1), xxhash.xxh3_64_intdigest(lang.encode()), np.uint64)
+def hashes(codes: np.ndarray, k: int, seeds: np.ndarray) -> np.ndarray:
+    """Of k words from each place on, with the language's seed there."""
+    h = seeds[: max(0, len(codes) - k + 1)]
     for j in range(k):
         h = (h ^ (h >> _STEP)) * _MIX + codes[j : j + len(h)]
     return (h ^ (h >> _STEP)) * _MIX
@@ -63,119 +66,216 @@ class Frequent:
     def __init__(self, bits: int, data: np.ndarray):
         self.shift, self.data = np.uint64(64 - bits), data
 
-    def __contains__(self, h) -> bool:
-        return bool(self.has(np.array([h], np.uint64))[0])
-
     def has(self, h: np.ndarray) -> np.ndarray:
         at = h >> self.shift
         return (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def frequent_bits(level: DataFrame, k: int) -> Frequent:
-    """The bitmap of a level's phrases (lang, phrase): tasks hash them, segments are put together by group, each of 2**20 bits at most."""
-    bits = min(MOST_BITS, max(16, (SPARSE * level.count()).bit_length()))
+def frequent_bits(rows: DataFrame) -> Frequent:
+    """The bitmap of a column ``hash``: segments of 2**20 bits at most are put together by group, and there are 2**8 of them at most."""
+    bits = min(MOST_BITS, max(16, (SPARSE * rows.count()).bit_length()))
     low = min(bits, SEGMENT_BITS)
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = Codes()
-        for b in batches:
-            h = [hashes(np.array([code[w] for w in p.encode().split()], np.uint64), k, lang)[0] for lang, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            at = np.array(h, np.uint64) >> np.uint64(64 - bits)
-            yield pa.RecordBatch.from_pydict({"segment": (at >> np.uint64(low)).astype(np.int64), "bit": (at & np.uint64((1 << low) - 1)).astype(np.int32)})
-
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         plane = np.zeros(1 << low, bool)
         plane[group["bit"].to_numpy()] = True
         return pd.DataFrame({"segment": [group["segment"].iloc[0]], "data": [np.packbits(plane, bitorder="little").tobytes()]})
 
-    rows = level.select("lang", "phrase").mapInArrow(places, "segment long, bit int").distinct().groupBy("segment").applyInPandas(pack, "segment long, data binary")
+    at = F.shiftrightunsigned("hash", 64 - bits)
+    places = rows.select(F.shiftrightunsigned(at, low).alias("segment"), at.bitwiseAND((1 << low) - 1).cast("int").alias("bit")).distinct()
     data = np.zeros(1 << (bits - 3), np.uint8)
-    for r in rows.collect():  # 2**(bits - low) rows at most, 32 MB in all
+    for r in places.groupBy("segment").applyInPandas(pack, "segment long, data binary").collect():  # 32 MB in all
         data[r.segment << (low - 3) : (r.segment + 1) << (low - 3)] = np.frombuffer(r.data, np.uint8)
     return Frequent(bits, data)
 
 
-def chunks(text: bytes, size: int) -> Iterator[bytes]:
-    """A text in parts of about ``size`` bytes, cut where pieces end."""
-    at = 0
-    while len(text) - at > size:
-        end = re.compile(rb"\xff").search(text, at + size)
-        if not end:
-            break
-        yield text[at : end.start()]
-        at = end.end()
-    yield text[at:]
-
-
-def tally(data: bytes, lang: str, k: int, before: Frequent | None, code: Codes) -> Iterator[tuple[bytes, int]]:
-    """Phrases of k words of lower-case pieces that end in \\xff, with their number, where both parts of k - 1 words may be frequent."""
-    words = data.replace(b"\xff", b" \xff ").split(b" ")
-    words = [w for w in words if w]
-    codes = np.fromiter(map(code.__getitem__, words), np.uint64, len(words))
-    if len(codes) < k:
-        return
-    ends = np.concatenate([[0], np.cumsum(codes == 0)])
-    keep = ends[k:] == ends[:-k]
-    if before is not None:
-        part = before.has(hashes(codes, k - 1, lang))
-        keep &= part[:-1] & part[1:]
-    at = np.flatnonzero(keep)
-    _, first, n = np.unique(hashes(codes, k, lang)[at], return_index=True, return_counts=True)
-    for p, c in zip(at[first].tolist(), n.tolist(), strict=True):
-        yield b" ".join(words[p : p + k]), c
-
-
-def level_counts(docs: DataFrame, k: int, before: Frequent | None, chunk: int = CHUNK, flush: int = FLUSH) -> DataFrame:
-    """(lang, phrase, n): n in parts, over docs (lang, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(before)
+def _langs_and_texts(b: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+    """Languages and texts in lower case."""
+    for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        if text:
+            yield lang, text.encode().lower()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, sums, held, size = Codes(), {}, {}, 0
 
-        def take() -> None:
-            for lang, parts in held.items():
-                own = sums.setdefault(lang, {})
-                for phrase, n in tally(b"\xff".join(parts), lang, k, shared.value, code):
-                    own[phrase] = own.get(phrase, 0) + n
-            held.clear()
+def word_counts(docs: DataFrame, flush: int = FLUSH) -> DataFrame:
+    """(lang, word, n): n in parts, over docs (lang, text)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, Counter] = {}
 
         def sent() -> pa.RecordBatch:
-            rows = [(lang, p, n) for lang, own in sums.items() for p, n in own.items()]
+            rows = [(lang, w, n) for lang, own in sums.items() for w, n in own.items()]
             sums.clear()
-            return pa.RecordBatch.from_pydict({"lang": pa.array([r[0] for r in rows], pa.string()), "phrase": pa.array([r[1] for r in rows], pa.binary()).cast(pa.string()), "n": pa.array([r[2] for r in rows], pa.int64())})
+            return pa.RecordBatch.from_pydict({"lang": pa.array([r[0] for r in rows], pa.string()), "word": pa.array([r[1] for r in rows], pa.binary()).cast(pa.string()), "n": pa.array([r[2] for r in rows], pa.int64())})
 
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if text:
-                    for part in chunks(text.encode().lower().translate(ENDS), chunk):
-                        held.setdefault(lang, []).append(part)
-                        size += len(part) + 1
-                        if size >= chunk:
-                            take()
-                            size = 0
-                            if sum(map(len, sums.values())) >= flush:
-                                yield sent()
-        take()
+            for k, (lang, text) in enumerate(_langs_and_texts(b)):
+                sums.setdefault(lang, Counter()).update(text.translate(BLANKS).split())
+                if k % 100 == 0 and sum(map(len, sums.values())) >= flush:
+                    yield sent()
         yield sent()
 
-    return docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text").mapInArrow(count, "lang string, phrase string, n long")
+    return docs.mapInArrow(count, "lang string, word string, n long")
+
+
+class Codes(dict):
+    """Word of a language to its code, or to 0 if it isn't frequent; the end of a piece is 0, too. Kept for a bounded number of words."""
+
+    def __init__(self, seed: int, words: Frequent):
+        super().__init__()
+        self.seed, self.words = np.array([seed], np.uint64), words
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > WORDS:
+            self.clear()
+        code = 0 if word == b"\xff" else code_of(word)
+        if code and not self.words.has(hashes(np.array([code], np.uint64), 1, self.seed))[0]:
+            code = 0
+        self[word] = code
+        return code
+
+
+def coded(docs: DataFrame, words: Frequent) -> DataFrame:
+    """(lang, codes): each text of docs (lang, text) with a frequent word, as codes with gaps."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Codes] = {}
+        for b in batches:
+            langs, rows, size = [], [], 0
+            for lang, text in _langs_and_texts(b):
+                if len(known) > 200 and lang not in known:
+                    known.clear()
+                get = known.setdefault(lang, Codes(seed_of(lang), shared.value))
+                w = text.translate(ENDS).replace(b"\xff", b" \xff ").split()
+                codes = np.fromiter(map(get.__getitem__, w), np.uint64, len(w))
+                if codes.any():
+                    langs.append(lang), rows.append(codes)
+                    size += len(codes)
+                if size > CHUNK:
+                    yield _coded_batch(langs, rows)
+                    langs, rows, size = [], [], 0
+            if rows:
+                yield _coded_batch(langs, rows)
+
+    return docs.mapInArrow(encode, "lang string, codes array<bigint>")
+
+
+def _coded_batch(langs: list[str], rows: list[np.ndarray]) -> pa.RecordBatch:
+    offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows).view(np.int64)))], ["lang", "codes"])
+
+
+def stretches(b: pa.RecordBatch, chunk: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """Coded texts in parts of about ``chunk`` words, whole texts each: their languages, codes with a gap after each text, seeds, and whose text a place is in."""
+    lists = b.column(1)
+    offsets, values, langs = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64), b.column(0).to_pylist()
+    a = 0
+    while a < b.num_rows:
+        z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + chunk, "right")) - 1)
+        size = np.diff(offsets[a : z + 1])
+        doc = np.repeat(np.arange(z - a), size + 1)
+        codes = np.zeros(len(doc), np.uint64)
+        codes[np.arange(offsets[z] - offsets[a]) + np.repeat(np.arange(z - a), size)] = values[offsets[a] : offsets[z]]
+        yield langs[a:z], codes, np.array([seed_of(x) for x in langs[a:z]], np.uint64)[doc], doc
+        a = z
+
+
+def level_pass(texts: DataFrame, k: int, before: Frequent | None, emit: bool = True, chunk: int = CHUNK, flush: int = FLUSH) -> DataFrame:
+    """(hash, lang, codes, n) over coded texts: phrases of k words by hash (codes null; none if not emit), and candidates of k - 1 words by their codes (hash 0)."""
+    shared = texts.sparkSession.sparkContext.broadcast(before)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, hashed, held, exact = shared.value, [], 0, Counter()
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            if hashed:
+                h, n = (np.concatenate(x) for x in zip(*hashed, strict=True))
+                order = np.argsort(h)
+                h, n = h[order], n[order]
+                first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                yield _pass_rows(h[first].view(np.int64), np.add.reduceat(n, first), None, None)
+                hashed.clear()
+            if exact:
+                yield _pass_rows(np.zeros(len(exact), np.int64), list(exact.values()), [x for x, _ in exact], [x for _, x in exact])
+                exact.clear()
+
+        for b in batches:
+            for langs, codes, seeds, doc in stretches(b, chunk):
+                gaps = np.concatenate([[0], np.cumsum(codes == 0)])
+                whole = lambda m: gaps[m:] == gaps[: len(gaps) - m]  # noqa: B023,E731
+                keep = whole(k)
+                if before is not None:
+                    part = hashes(codes, k - 1, seeds)
+                    may = before.has(part) & whole(k - 1)
+                    keep = keep & may[:-1] & may[1:]
+                    at = np.flatnonzero(may)
+                    _, first, n = np.unique(part[at], return_index=True, return_counts=True)
+                    for p, c in zip(at[first].tolist(), n.tolist(), strict=True):
+                        exact[langs[doc[p]], codes[p : p + k - 1].tobytes()] += c
+                if emit:
+                    h, n = np.unique(hashes(codes, k, seeds)[keep], return_counts=True)
+                    if len(h):
+                        hashed.append((h, n))
+                        held += len(h)
+                if held >= flush or len(exact) >= flush:
+                    yield from sent()
+                    held = 0
+        yield from sent()
+
+    return texts.mapInArrow(count, "hash long, lang string, codes binary, n long")
+
+
+def _pass_rows(h, n, langs, codes) -> pa.RecordBatch:
+    null = lambda kind: pa.nulls(len(n), kind)
+    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), null(pa.string()) if langs is None else pa.array(langs, pa.string()), null(pa.binary()) if codes is None else pa.array(codes, pa.binary()), pa.array(n, pa.int64())], ["hash", "lang", "codes", "n"])
+
+
+def with_codes(words: DataFrame) -> DataFrame:
+    """words (lang, phrase, f) with their code, and their hash as phrases of one word."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = np.array([code_of(w.encode()) for w in b.column(1).to_pylist()], np.uint64)
+            h = hashes(codes, 1, np.array([seed_of(x) for x in b.column(0).to_pylist()], np.uint64))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes.view(np.int64)), pa.array(h.view(np.int64))], ["lang", "phrase", "f", "code", "hash"])
+
+    return words.select("lang", "phrase", "f").mapInArrow(add, "lang string, phrase string, f long, code long, hash long")
+
+
+def spelled(phrases: DataFrame, words: DataFrame) -> DataFrame:
+    """(lang, phrase, f) of phrases (lang, codes, f) by words (lang, phrase, code)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+            take = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            place = np.concatenate([np.arange(len(x)) for x in lists]) if lists else np.empty(0, np.int64)
+            code = np.concatenate(lists) if lists else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(take, pa.int64())) for c in b.columns), pa.array(place, pa.int64()), pa.array(code, pa.int64())], ["lang", "codes", "f", "place", "code"])
+
+    rows = phrases.select("lang", "codes", "f").mapInArrow(each, "lang string, codes binary, f long, place long, code long")
+    rows = rows.join(words.select("lang", "code", F.col("phrase").alias("word")), ["lang", "code"])
+    lists = rows.groupBy("lang", "codes", "f").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("w"))
+    return lists.select("lang", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("phrase"), "f")
 
 
 def levels(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, **how) -> tuple[DataFrame, list[DataFrame]]:
     """(lang, n) of all words, and for each number of words the frequent phrases (lang, phrase, f)."""
-    total, out, before = None, [], None
-    for k in range(1, longest + 1):
-        counts = level_counts(docs, k, before, **how).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-        if k == 1:
-            counts = stored(counts, "words")
-            total = stored(counts.groupBy("lang").agg(F.sum("f").alias("n")), "total")
-        out.append(stored(counts.where(F.col("f") >= least), f"level{k}"))
-        if k < longest:
-            before = frequent_bits(out[-1], k)
+    docs = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
+    every = stored(word_counts(docs).groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("f")), "words")
+    total = stored(every.groupBy("lang").agg(F.sum("f").alias("n")), "total")
+    words = stored(with_codes(every.where(F.col("f") >= least)), "level1")
+    texts, out, before = stored(coded(docs, frequent_bits(words)), "coded"), [words.select("lang", "phrase", "f")], None
+    for k in range(2, longest + 2):
+        rows = level_pass(texts, k, before, k <= longest, **how).groupBy("hash", "lang", "codes").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        rows = stored(rows, f"level{k}")
+        if k > 2:
+            out.append(stored(spelled(rows.where("codes is not null"), words), f"phrases{k - 1}"))
+        before = frequent_bits(rows.where("codes is null").select("hash"))
     return total, out
 
 
-def _cut(phrase: str, first, n) -> F.Column:
+def _cut(phrase: str, first, n) -> Column:
     return F.array_join(F.slice(F.split(phrase, " "), first, n), " ")
 
 
