@@ -293,7 +293,8 @@ def marked(table: DataFrame) -> DataFrame:
     """Runs that need a look: ``repeated`` ones, and the first of each content of anchors that have several (``kinds``), or that may repeat inside."""
     known = F.col("place").bitwiseAND(1) == 1
     same = Window.partitionBy("anchor", "content", "known").orderBy(F.asc_nulls_first("doc_id"), _start())
-    rows = table.withColumn("known", known).withColumn("later", F.rank().over(same) > 1).withColumn("one", F.row_number().over(same) == 1)
+    # One exchange for all windows: all of an anchor is together.
+    rows = table.repartition("anchor").withColumn("known", known).withColumn("later", F.rank().over(same) > 1).withColumn("one", F.row_number().over(same) == 1)
     rows = rows.withColumn("kinds", F.sum((F.col("one") & ~F.col("known")).cast("int")).over(Window.partitionBy("anchor")))
     repeated = F.col("known") | F.col("later")
     inner = F.col("place").bitwiseAND(2) == 2
