@@ -208,6 +208,12 @@ def renumbered(targets: DataFrame, variant: dict[str, DataFrame]) -> DataFrame:
     return out.withColumns({"ordinal": F.coalesce("_k", "ordinal"), "region_name": F.when(F.col("_k").isNotNull(), F.concat_ws("_", "_base", F.col("_k").cast("string"))).otherwise(F.col("region_name"))}).select(*targets.columns)
 
 
+def drawn(corpus: dict[str, DataFrame]) -> DataFrame:
+    """The points and curves of all sections as rows that edits take, with the control points of curves that have them."""
+    control = corpus["curves"].select("section_id", "name", F.lit("curve").alias("kind"), "control")
+    return section_rows(corpus["sections"], corpus["points"], corpus["curves"]).join(control, ["section_id", "name", "kind"], "left")
+
+
 def generate(corpus: dict[str, DataFrame], regions: DataFrame, per_section: int = 20, seed: int = 1, quota: int = 0, rounds: int = 4, sections: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(attempts with reasons, targets of accepted variants, quota status) for sections with labels.
 
@@ -218,9 +224,8 @@ def generate(corpus: dict[str, DataFrame], regions: DataFrame, per_section: int
     hosts = real.select("section_id").distinct()
     if sections is not None:
         hosts = hosts.join(sections.select("section_id"), "section_id", "left_semi")
-    rows = section_rows(corpus["sections"], corpus["points"], corpus["curves"]).join(corpus["sections"].select("section_id", "plane"), "section_id")
-    control = corpus["curves"].select("section_id", "name", F.lit("curve").alias("kind"), "control")
-    rows = cut(rows.join(control, ["section_id", "name", "kind"], "left").join(hosts, "section_id", "left_semi"))
+    rows = drawn(corpus).join(corpus["sections"].select("section_id", "plane"), "section_id")
+    rows = cut(rows.join(hosts, "section_id", "left_semi"))
     prints = augment.source_fingerprints(rows)
     short = lambda df: df.where(~flagged("synthetic", "empty_target") & ~is_empty()).select(F.substring_index("label_id", ".", -1).alias("label"), "section_id")
     tried, first = None, 0

@@ -9,18 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwise.operators import augment, evaluate, features, labels, mapper, models, silver, topology, variants, verify
+from spanwise.operators.relational import cut
 from spanwise.plans import reports
 from spanwise.sources import edges, files, sections
 
 
 def build(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """All tables of the sections below a folder."""
-    s, p, c = (df.persist() for df in sections.localised(*sections.read_sections(spark, path)))
-    graph = topology.graph(s, p, c).persist()
-    meta, regions = files.read_annotations(spark, path)
-    targets = silver.silver(s, p, c, graph, regions).persist()
-    t = {"sections": s, "points": p, "curves": c, "graph": graph, "curve_features": features.curve_features(s, p, c, graph).persist(), "face_features": features.face_features(s, p, graph).persist()}
-    return {**t, "meta": meta, "regions": regions, "targets": targets, "samples": silver.samples(targets, meta).persist()}
+    """All tables of the sections below a folder.
+
+    Tables that many later ones read are checkpointed, not only cached: a plan that holds its readers' whole lineage several times
+    over takes longer to analyse than its job to run.
+    """
+    s, p, c = (cut(df) for df in sections.localised(*(cut(df) for df in sections.read_sections(spark, path))))
+    graph = cut(topology.graph(s, p, c))
+    meta, regions = (cut(df) for df in files.read_annotations(spark, path))
+    targets = cut(silver.silver(s, p, c, graph, regions))
+    t = {"sections": s, "points": p, "curves": c, "graph": graph, "curve_features": cut(features.curve_features(s, p, c, graph)), "face_features": cut(features.face_features(s, p, graph))}
+    return {**t, "meta": meta, "regions": regions, "targets": targets, "samples": cut(silver.samples(targets, meta))}
 
 
 def tables_of(corpus: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -107,9 +112,9 @@ def evaluated(corpus: dict[str, DataFrame], args: argparse.Namespace) -> None:
 
 def with_variants(corpus: dict[str, DataFrame], tried: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """The corpus' tables with those of accepted variants, and the variants' targets."""
-    more = {k: df.persist() for k, df in variants.tables(tried).items()}
-    new = variants.renumbered(variants.propagated(corpus["targets"], tried, corpus["graph"], more), more).persist()
-    more |= {"curve_features": features.curve_features(*(more[k] for k in ("sections", "points", "curves", "graph"))), "face_features": features.face_features(more["sections"], more["points"], more["graph"])}
+    more = {k: cut(df) for k, df in variants.tables(tried).items()}
+    new = cut(variants.renumbered(variants.propagated(corpus["targets"], tried, corpus["graph"], more), more))
+    more |= {"curve_features": cut(features.curve_features(*(more[k] for k in ("sections", "points", "curves", "graph")))), "face_features": cut(features.face_features(more["sections"], more["points"], more["graph"]))}
     return variants.union_tables(corpus, more, list(tables_of(corpus))), new
 
 
@@ -122,8 +127,7 @@ def augmented(corpus: dict[str, DataFrame], args: argparse.Namespace) -> None:
 
 def audited(corpus: dict[str, DataFrame], args: argparse.Namespace) -> None:
     """Per feature, how far splits alone move it: curves against the mean of their pieces, over one split of each section."""
-    rows = topology.section_rows(corpus["sections"], corpus["points"], corpus["curves"])
-    tried = augment.attempts(rows.withColumn("control", F.lit(None).cast(f"array<{topology.UV}>")), 1, args.seed, edits=["split"])
+    tried = cut(augment.attempts(variants.drawn(corpus), 1, args.seed, edits=["split"]))
     more, _ = with_variants(corpus, tried)
     reports.write_lines(evaluate.feature_shift(corpus["curve_features"], more["curve_features"], variants.accepted(tried)), f"{args.out}/feature_audit")
 
