@@ -117,21 +117,21 @@ def word_counts(docs: DataFrame, flush: int = FLUSH) -> DataFrame:
     return docs.mapInArrow(count, "lang string, word string, n long")
 
 
-class Codes(dict):
-    """Word of a language to its code, or to 0 if it isn't frequent; the end of a piece is 0, too. Kept for a bounded number of words."""
+class Codes:
+    """Words of a language to their codes, or to 0 if they aren't frequent; the end of a piece is 0, too. Kept for a bounded number of words; new ones are looked up together."""
 
-    def __init__(self, seed: int, words: Frequent):
-        super().__init__()
-        self.seed, self.words = np.array([seed], np.uint64), words
+    def __init__(self, lang: str, words: Frequent):
+        self.lang, self.words, self.known = lang, words, {b"\xff": 0}
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS:
-            self.clear()
-        code = 0 if word == b"\xff" else code_of(word)
-        if code and not self.words.has(hashes(np.array([code], np.uint64), 1, self.seed))[0]:
-            code = 0
-        self[word] = code
-        return code
+    def of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        known = self.known
+        if len(known) > WORDS:
+            known = self.known = {b"\xff": 0}
+        if new := list(set().union(*texts).difference(known)):
+            codes = np.fromiter(map(code_of, new), np.uint64, len(new))
+            codes[~self.words.has(hashes(codes, 1, np.full(len(new), seed_of(self.lang), np.uint64)))] = 0
+            known.update(zip(new, codes.tolist(), strict=True))
+        return [np.fromiter(map(known.__getitem__, w), np.uint64, len(w)) for w in texts]
 
 
 def coded(docs: DataFrame, words: Frequent) -> DataFrame:
@@ -140,22 +140,26 @@ def coded(docs: DataFrame, words: Frequent) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Codes] = {}
+        held: dict[str, list[list[bytes]]] = {}
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for lang, texts in held.items():
+                if len(known) > 200:
+                    known.clear()
+                rows = [c for c in known.setdefault(lang, Codes(lang, shared.value)).of(texts) if c.any()]
+                if rows:
+                    yield _coded_batch([lang] * len(rows), rows)
+            held.clear()
+
+        size = 0
         for b in batches:
-            langs, rows, size = [], [], 0
             for lang, text in _langs_and_texts(b):
-                if len(known) > 200 and lang not in known:
-                    known.clear()
-                get = known.setdefault(lang, Codes(seed_of(lang), shared.value))
-                w = text.translate(ENDS).replace(b"\xff", b" \xff ").split()
-                codes = np.fromiter(map(get.__getitem__, w), np.uint64, len(w))
-                if codes.any():
-                    langs.append(lang), rows.append(codes)
-                    size += len(codes)
+                held.setdefault(lang, []).append(text.translate(ENDS).replace(b"\xff", b" \xff ").split())
+                size += len(text)
                 if size > CHUNK:
-                    yield _coded_batch(langs, rows)
-                    langs, rows, size = [], [], 0
-            if rows:
-                yield _coded_batch(langs, rows)
+                    yield from sent()
+                    size = 0
+        yield from sent()
 
     return docs.mapInArrow(encode, "lang string, codes array<bigint>")
 
