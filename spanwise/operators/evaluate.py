@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.functions.scalar import recall_at, set_measures
-from spanwise.operators.features import CURVE_FEATURES
+from spanwise.operators.features import CURVE_FEATURES, FACE_FEATURES
 from spanwise.operators.labels import Registry
-from spanwise.operators.mapper import candidates, map_queries
-from spanwise.operators.models import Bank, source_weights, train
+from spanwise.operators.logistic import probability
+from spanwise.operators.mapper import map_queries, whole_faces
+from spanwise.operators.models import FACE, fitted, rule_curve_score, rule_face_score, source_weights, training_rows
 from spanwise.operators.relational import audit, cut, index_percentile
 
 SCORERS = ("rules", "logreg", "hybrid")
@@ -40,33 +41,43 @@ def as_queries(samples: DataFrame) -> DataFrame:
     return samples.select(F.col("sample_id").alias("query_id"), "section_id", "label_id", F.when(F.col("kind") == "specific", F.col("ordinal")).alias("ordinal"), none("int").alias("count"), none("string").alias("position"), F.lit(1.0).alias("text_score"))
 
 
+def fold_candidates(registry: Registry, tables: dict[str, DataFrame], families: DataFrame, line_models: DataFrame, face_models: DataFrame) -> DataFrame:
+    """``candidates`` of all sections with a column for each scorer: a section is scored by the models that left its family out, and by rules where there is none."""
+    short = lambda row: row[0].rsplit(".", 1)[-1]
+
+    def scored(features: DataFrame, kind: str, name: str, names: list[str], models: DataFrame, key, rule) -> DataFrame:
+        labels = [F.struct(F.lit(row[0]).alias("label_id"), F.lit(key(row)).alias("label"), rule(row).alias("rules")) for row in registry.labels if row[2] == kind]
+        rows = features.join(families.select("section_id", F.col("family").alias("fold")), "section_id")
+        rows = rows.select("section_id", F.col(name).alias("name"), "ord", "fold", F.array(*(F.col(c).cast("double") for c in names)).alias("x"), F.explode(F.array(*labels)).alias("l")).select("*", "l.*").drop("l")
+        rows = rows.join(models.select("label", "fold", "mean", "std", "weights"), ["label", "fold"], "left")
+        p = probability(F.col("x"), F.col("mean"), F.col("std"), F.col("weights"))
+        rows = rows.withColumn("p", p)
+        return rows.select("label_id", "section_id", F.lit(kind).alias("kind"), "name", "ord", "rules", F.coalesce("p", "rules").alias("logreg"), F.coalesce(0.5 * F.col("rules") + 0.5 * F.col("p"), "rules").alias("hybrid"), F.col("p").isNotNull().alias("has_model"))
+
+    faces = tables["face_features"].join(whole_faces(tables["graph"]), ["section_id", "face_id"])
+    by_face = scored(faces, "face", "face_id", FACE_FEATURES, face_models, lambda row: FACE, lambda row: rule_face_score())
+    return scored(tables["curve_features"], "curve", "name", CURVE_FEATURES, line_models, short, lambda row: rule_curve_score(short(row))).unionByName(by_face)
+
+
 def leave_one_family_out(samples: DataFrame, tables: dict[str, DataFrame], families: DataFrame, registry: Registry | None = None) -> DataFrame:
     """Rows of all scorers and folds. tables: sections, points, curves, graph, curve_features, face_features; families (section_id, family, source_id if there are variants).
 
-    A fold trains on all families but one, with their variants, and answers the samples of that one. A section has one family, so
-    the folds' scores fit in one table, and each scorer answers all samples at once; variants of the family left out have the
-    split aug. A source and its variants weigh as one section.
+    A fold trains on all families but one, with their variants, and answers the samples of that one. All folds' models are fitted at
+    once, and a section's scores come from a join with those of its family's fold, so the plan doesn't grow with the families. Variants
+    of the family left out have the split aug. A source and its variants weigh as one section.
     """
     registry = registry or Registry()
     families = families if "source_id" in families.columns else families.withColumn("source_id", F.col("section_id"))
-    names = [r.family for r in families.select("family").distinct().orderBy("family").collect()]
-    weights = source_weights(families)
     tables = {k: cut(df) for k, df in tables.items()}
     samples, families = cut(samples), cut(families)
-    scored: dict[str, DataFrame] = {}
-    for family in names:
-        of = families.select("section_id", (F.col("family") == family).alias("mine"))
-        rest, mine = of.where("not mine").select("section_id"), of.where("mine").select("section_id")
-        features = [tables[k] for k in ("curve_features", "face_features")]
-        bank = train(*(df.join(rest, "section_id") for df in features), samples.join(rest, "section_id"), weights)
-        here = [df.join(mine, "section_id") for df in features]
-        for scorer in SCORERS:
-            one = candidates(registry, Bank(bank.curves, bank.face, scorer), *here, tables["graph"])
-            scored[scorer] = scored[scorer].unionByName(one) if scorer in scored else one
+    lines, faces = training_rows(tables["curve_features"], tables["face_features"], samples, source_weights(families), families)
+    models = fitted(lines, len(CURVE_FEATURES), False), fitted(faces, len(FACE_FEATURES), False)
+    scored = cut(fold_candidates(registry, tables, families, *models))
     out, queries = None, as_queries(samples)
     split = families.select("section_id", F.when(F.col("section_id") == F.col("source_id"), "orig").otherwise("aug").alias("split"))
-    for scorer, table in scored.items():
-        answers = map_queries(queries, registry=registry, top_k=100, scored=table, ready=True, **tables)
+    for scorer in SCORERS:
+        one = scored.select("label_id", "section_id", "kind", "name", "ord", F.col(scorer).alias("score"), F.when(F.col("has_model"), scorer).otherwise("rules").alias("scorer"), F.array().cast("array<string>").alias("contributions"))
+        answers = map_queries(queries, registry=registry, top_k=100, scored=one, ready=True, **tables)
         rows = evaluate(samples, answers, scorer).drop("split").join(split, "section_id")
         out = rows if out is None else out.unionByName(rows)
     return out

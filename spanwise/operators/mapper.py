@@ -15,6 +15,14 @@ from spanwise.operators.topology import part
 THRESHOLD, CORNER, SPLINTER, NEAR = 0.5, 0.35, 0.05, 0.12
 
 
+def whole_faces(graph: DataFrame) -> DataFrame:
+    """(section_id, face_id) of faces that can answer: no splinters, and no cells that have sub-cells."""
+    face = part(graph, "face").select("section_id", "face_id", "area", "parent", "is_sub")
+    parents = face.where("is_sub").select("section_id", F.col("parent").alias("face_id")).distinct()
+    largest = face.where("not is_sub").groupBy("section_id").agg(F.max("area").alias("most"))
+    return face.join(parents, ["section_id", "face_id"], "left_anti").join(largest, "section_id").where(F.col("area") >= SPLINTER * F.col("most")).select("section_id", "face_id")
+
+
 def candidates(registry: Registry, bank: Bank, curve_features: DataFrame, face_features: DataFrame, graph: DataFrame) -> DataFrame:
     """(label_id, section_id, kind, name, ord, score, scorer, contributions) of all curves and faces for all labels; splinters and cells with sub-cells are out.
 
@@ -31,11 +39,7 @@ def candidates(registry: Registry, bank: Bank, curve_features: DataFrame, face_f
                 rows.append(F.struct(F.lit(row[0]).alias("label_id"), score(row).alias("score"), F.lit(name).alias("scorer"), why.alias("contributions")))
         return F.explode(F.array(*rows))
 
-    face = part(graph, "face").select("section_id", "face_id", "area", "parent", "is_sub")
-    parents = face.where("is_sub").select("section_id", F.col("parent").alias("face_id")).distinct()
-    largest = face.where("not is_sub").groupBy("section_id").agg(F.max("area").alias("most"))
-    keep = face.join(parents, ["section_id", "face_id"], "left_anti").join(largest, "section_id").where(F.col("area") >= SPLINTER * F.col("most")).select("section_id", "face_id")
-    faces = face_features.join(keep, ["section_id", "face_id"]).select("section_id", F.col("face_id").alias("name"), "ord", of("face", lambda row: bank.face_score()).alias("s"))
+    faces = face_features.join(whole_faces(graph), ["section_id", "face_id"]).select("section_id", F.col("face_id").alias("name"), "ord", of("face", lambda row: bank.face_score()).alias("s"))
     lines = curve_features.select("section_id", "name", "ord", of("curve", lambda row: bank.curve_score(label(row))).alias("s"))
     both = faces.withColumn("kind", F.lit("face")).unionByName(lines.withColumn("kind", F.lit("curve")))
     return both.select("s.label_id", "section_id", "kind", "name", "ord", "s.score", "s.scorer", "s.contributions")

@@ -10,10 +10,11 @@ import json
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwise.functions.scalar import sigmoid
+from spanwise.operators import logistic
 from spanwise.operators.features import CURVE_FEATURES, FACE_FEATURES
 from spanwise.operators.relational import source_weights as source_weights_of
 from spanwise.operators.topology import part
@@ -31,8 +32,6 @@ CURVE_RULES = {
 NO_RULE = -1.5
 DEEP_WAIST = 0.6
 MIN_SECTIONS, MIN_POSITIVES, MOST_CLASS_WEIGHT = 2, 2, 12.0
-#: Bound of the labelled entities that models are fitted on.
-MAX_ROWS = 200_000
 
 
 def _term(name: str) -> Column:
@@ -142,44 +141,54 @@ class Bank:
         return "rules" if self.mode == "rules" or model is None else self.mode
 
     def save(self, path: str) -> None:
+        """One line of JSON in a folder that Spark writes, so any store will do."""
         body = {"curves": {k: vars(m) for k, m in self.curves.items()}, "face": vars(self.face) if self.face else None}
-        with open(path, "w", encoding="utf-8") as f:
-            json.dump(body, f, ensure_ascii=False, indent=1)
+        spark = SparkSession.active()
+        spark.createDataFrame([(json.dumps(body, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     @staticmethod
     def load(path: str, mode: str = "logreg") -> Bank:
-        with open(path, encoding="utf-8") as f:
-            body = json.load(f)
+        body = json.loads(SparkSession.active().read.text(path, wholetext=True).first().value)
         return Bank({k: Logistic(**m) for k, m in body["curves"].items()}, Logistic(**body["face"]) if body["face"] else None, mode)
 
 
-def _bounded(rows: DataFrame, most: int, *name: str) -> DataFrame:
-    """About ``most`` rows by the hash of their names, all if there aren't more."""
-    n = rows.count()
-    return rows if n <= most else rows.where(F.pmod(F.xxhash64(*name, F.lit(17)), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+FACE = "face"
 
 
-def train(curve_features: DataFrame, face_features: DataFrame, samples: DataFrame, weights: DataFrame | None = None, mode: str = "logreg", max_rows: int = MAX_ROWS) -> Bank:
-    """A model for each label with generic samples in two sections and two positives at least.
+def training_rows(curve_features: DataFrame, face_features: DataFrame, samples: DataFrame, weights: DataFrame | None = None, families: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows (label, fold, section_id, y, w, x) of curves, by label, and of faces, all under one label: every labelled entity is one.
 
-    Negatives come only from sections that have the label. weights (section_id, weight): a source and its variants share 1.
-    Models are fitted on the driver from a sample of about ``max_rows`` labelled entities of all labels together.
+    Negatives come only from sections that have the label. weights (section_id, weight): a source and its variants share 1. families
+    (section_id, family): the folds.
     """
     generic = samples.where("kind = 'generic'").withColumn("label", F.element_at(F.split("label_id", r"\."), -1))
-    weighted = lambda df: df.withColumn("_w", F.lit(1.0)) if weights is None else df.join(weights.withColumnRenamed("weight", "_w"), "section_id", "left").na.fill(1.0, ["_w"])
-    bank = Bank(mode=mode)
-    rows = generic.where("entity_type = 'curve'").select("section_id", "label", "target_curves").join(curve_features, "section_id")
-    rows = _bounded(rows, max_rows, "section_id", "name", "label")
-    got = weighted(rows.withColumn("_y", F.array_contains("target_curves", F.col("name")).cast("double"))).select("label", "section_id", "ord", "_y", "_w", *CURVE_FEATURES).orderBy("label", "section_id", "ord").toPandas()
-    for label, g in got.groupby("label", sort=True):
-        if g["section_id"].nunique() >= MIN_SECTIONS and g["_y"].sum() >= MIN_POSITIVES:
-            bank.curves[label] = Logistic(list(CURVE_FEATURES)).fit(g[CURVE_FEATURES].to_numpy(float), g["_y"].to_numpy(), g["_w"].to_numpy())
-    rows = generic.where("entity_type = 'face'").select("section_id", "target_faces").join(face_features, "section_id")
-    rows = _bounded(rows, max_rows, "section_id", "face_id")
-    got = weighted(rows.withColumn("_y", F.array_contains("target_faces", F.col("face_id")).cast("double"))).select("section_id", "ord", "_y", "_w", *FACE_FEATURES).orderBy("section_id", "ord").toPandas()
-    if got["section_id"].nunique() >= MIN_SECTIONS and got["_y"].sum() >= MIN_POSITIVES:
-        bank.face = Logistic(list(FACE_FEATURES)).fit(got[FACE_FEATURES].to_numpy(float), got["_y"].to_numpy(), got["_w"].to_numpy())
-    return bank
+    one = lambda df, at, value, none: df.withColumn(value, none) if at is None else df.join(at, "section_id", "left")
+
+    def rows(kind: str, label: Column, targets: str, features: DataFrame, name: str, names: list[str]) -> DataFrame:
+        out = generic.where(F.col("entity_type") == kind).select("section_id", label.alias("label"), targets).join(features, "section_id")
+        out = one(out, None if weights is None else weights.select("section_id", F.col("weight").alias("w")), "w", F.lit(1.0)).na.fill(1.0, ["w"])
+        out = one(out, None if families is None else families.select("section_id", F.col("family").alias("fold")), "fold", F.lit(None).cast("string"))
+        return out.select("label", "fold", "section_id", F.array_contains(targets, F.col(name)).cast("double").alias("y"), "w", F.array(*(F.col(c).cast("double") for c in names)).alias("x"))
+
+    return rows("curve", F.col("label"), "target_curves", curve_features, "name", CURVE_FEATURES), rows("face", F.lit(FACE), "target_faces", face_features, "face_id", FACE_FEATURES)
+
+
+def fitted(rows: DataFrame, n_features: int, whole: bool) -> DataFrame:
+    """logistic.MODEL rows of training rows: for each label of all rows (whole), or of all folds but one for each fold, where the rows hold MIN_SECTIONS sections and MIN_POSITIVES positives."""
+    models = logistic.fit(rows, n_features, whole)
+    own = rows.groupBy("label", "fold").agg(F.countDistinct("section_id").alias("n"))  # a section has one family
+    every = own.groupBy("label").agg(F.sum("n").alias("n_all"))
+    out = models.join(every, "label").join(own.select("label", F.col("fold").alias("_f"), "n"), (models["label"] == own["label"]) & models["fold"].eqNullSafe(F.col("_f")) & F.col("fold").isNotNull(), "left")
+    return out.where((F.col("n_all") - F.coalesce("n", F.lit(0)) >= MIN_SECTIONS) & (F.col("n_pos") >= MIN_POSITIVES)).select(*(models[c] for c in models.columns))
+
+
+def train(curve_features: DataFrame, face_features: DataFrame, samples: DataFrame, weights: DataFrame | None = None, mode: str = "logreg") -> Bank:
+    """A model for each label with generic samples in two sections and two positives at least, fitted over all labelled entities where they are."""
+    lines, faces = training_rows(curve_features, face_features, samples, weights)
+    model = lambda names, r: Logistic(list(names), r["mean"], r["std"], r["weights"], r["n_pos"], r["n_neg"])
+    curves = {r["label"]: model(CURVE_FEATURES, r) for r in fitted(lines, len(CURVE_FEATURES), True).collect()}  # the registry's labels
+    face = fitted(faces, len(FACE_FEATURES), True).collect()
+    return Bank(curves, model(FACE_FEATURES, face[0]) if face else None, mode)
 
 
 def source_weights(variants: DataFrame) -> DataFrame:

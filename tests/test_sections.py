@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanwise.functions import geometry as G
-from spanwise.operators import features, labels, mapper, models, silver, topology
+from spanwise.operators import evaluate, features, labels, mapper, models, silver, topology
 from spanwise.sources import sections as src
 from tests.fixtures import FIXTURES, macro, square
 
@@ -117,3 +117,13 @@ def test_silver_and_training(spark, tables):
     assert "internal_web" in bank.curves and bank.face is not None
     score = {(r.section_id, r.name): r.s for r in tables["curve_features"].select("section_id", "name", bank.curve_score("internal_web").alias("s")).collect()}
     assert score["ladder", "R2"] > 0.5 > score["ladder", "L1"]
+    folds = evaluate.leave_one_family_out(made, tables, meta.where("section_id in ('ladder', 't_rung', 'square')")).collect()
+    assert {r.scorer for r in folds} == set(evaluate.SCORERS) and {r.section_id for r in folds} == {"ladder", "t_rung", "square"}
+
+
+def test_model_round_trip(spark, tmp_path):
+    """Written and read by Spark, so a bank can lie in any store."""
+    bank = models.Bank({"notch": models.Logistic(["a"], [1.0], [2.0], [0.5, -1.0], 3, 4)}, None)
+    bank.save(str(tmp_path / "model.json"))
+    again = models.Bank.load(str(tmp_path / "model.json"), "hybrid")
+    assert again.curves == bank.curves and again.face is None and again.mode == "hybrid"
