@@ -297,16 +297,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rows: int =
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """docs with one row of each class, all columns kept. Of rows alike in doc_id and text one stays."""
-    docs = docs.withColumn("_key_", F.coalesce(F.md5("text"), F.lit("")))
+    # A row travels as one column, so no name of its own can clash.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row_"), "doc_id", F.coalesce(F.md5("text"), F.lit("")).alias("_key_"))
     found = near_duplicates(docs.select("doc_id", "text"), **how).withColumn("_key2_", F.coalesce("key", F.lit("")))
     kept = found.groupBy(F.col("doc_id").alias("_doc_"), "_key2_").agg(F.max(F.col("is_kept").cast("int")).alias("_kept_"), F.count("*").alias("_times_"), F.max("n_shingles").alias("_n_")).where("_kept_ = 1")
     kept = stored(kept, "kept")
 
     def those(which) -> DataFrame:
         k = kept.where(which)
-        return docs.join(k, docs["doc_id"].eqNullSafe(k["_doc_"]) & (docs["_key_"] == k["_key2_"]), "left_semi")
+        return rows.join(k, rows["doc_id"].eqNullSafe(k["_doc_"]) & (rows["_key_"] == k["_key2_"]), "left_semi")
 
     again = (F.col("_times_") > 1) & (F.col("_n_") > 0)
-    if kept.where(again).isEmpty():
-        return those(F.lit(True)).drop("_key_")
-    return those(~again).unionByName(those(again).dropDuplicates(["doc_id", "_key_"])).drop("_key_")
+    out = those(F.lit(True)) if kept.where(again).isEmpty() else those(~again).unionByName(those(again).dropDuplicates(["doc_id", "_key_"]))
+    return out.select(*(F.col(f"_row_.`{c}`").alias(c) for c in docs.columns))

@@ -268,10 +268,10 @@ def indexes(items: DataFrame, max_terms: int = MAX_TERMS, **how) -> Iterator[Ind
     yield index()
 
 
-def hits_column(index, overlap: float):
-    """Over text: the items of a broadcast index that it holds, as an array of (item_id, bm25, overlap)."""
+def hits_column(index, overlap: float, kind: str = "bigint"):
+    """Over text: the items of a broadcast index that it holds, as an array of (item_id, bm25, overlap); kind: the type of item ids."""
 
-    @F.pandas_udf("array<struct<item_id: long, bm25: double, overlap: double>>")
+    @F.pandas_udf(f"array<struct<item_id: {kind}, bm25: double, overlap: double>>")
     def hits(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ix = index.value
         for x in texts:
@@ -300,12 +300,13 @@ def usual_terms(docs: DataFrame, n_docs: int = SAMPLE) -> dict[bytes, int]:
 def contaminated(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, **how) -> DataFrame:
     """The rows named above for docs (doc_id, text) and items (item_id, question, answer)."""
     spark, out = docs.sparkSession, None
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (items, "item_id"))]
     for index in indexes(items, usual=usual_terms(docs), **how):
-        hits = hits_column(spark.sparkContext.broadcast(index), overlap)
+        hits = hits_column(spark.sparkContext.broadcast(index), overlap, kinds[1])
         one = docs.select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.*")
         out = one if out is None else out.unionByName(one)
     if out is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, bm25 double, overlap double")
+        return spark.createDataFrame([], f"doc_id {kinds[0]}, item_id {kinds[1]}, bm25 double, overlap double")
     return out.groupBy("doc_id", "item_id").agg(F.max("bm25").alias("bm25"), F.max("overlap").alias("overlap"))
 
 
@@ -319,6 +320,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, overlap: float = OVERLA
     """The rows of docs that hold no item, with all their columns."""
     spark, keep = docs.sparkSession, None
     for index in indexes(items, usual=usual_terms(docs), **how):
-        clean = F.size(hits_column(spark.sparkContext.broadcast(index), overlap)) == 0
+        clean = F.size(hits_column(spark.sparkContext.broadcast(index), overlap, items.schema["item_id"].dataType.simpleString())) == 0
         keep = clean if keep is None else keep & clean
     return docs if keep is None else docs.where(keep)

@@ -75,3 +75,13 @@ def test_hits_equal_all_windows():
                 if score >= 0.5 - 1e-9 and shared >= 0.8 - 1e-9 and len(ix.answer[n] & set(part)) >= 0.8 * len(ix.answer[n]) - 1e-9:
                     want[n] = max(want.get(n, 0), round(score, 9))
         assert {n: round(s, 9) for n, (s, _) in ix.hits(" ".join(words)).items()} == want
+
+
+def test_string_ids(spark):
+    """Ids of any type; documents and items."""
+    question = "which of these seven words comes last in the row"
+    docs = spark.createDataFrame([("d1", f"noise {question} noise"), ("d2", "nothing here"), (None, None)], "doc_id string, text string")
+    bench = spark.createDataFrame([("q1", question, None)], "item_id string, question string, answer string")
+    assert [(r.doc_id, r.item_id) for r in D.contaminated(docs, bench).collect()] == [("d1", "q1")]
+    assert {r.doc_id for r in D.drop_contaminated(docs, bench).collect()} == {"d2", None}
+    assert D.contaminated(docs, bench.limit(0)).dtypes[:2] == [("doc_id", "string"), ("item_id", "string")]
