@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def position_rank(rank: Column, size: Column) -> Column:
@@ -76,3 +78,47 @@ def ordinal_suffix(name: Column) -> Column:
 def is_subset(inner: Column, outer: Column) -> Column:
     """Whether all members of a set are in another; an empty set is in any."""
     return F.size(F.array_except(inner, outer)) == 0
+
+
+def _escaped(text: Column) -> Column:
+    """A string as JSON in ASCII alone: quotes, backslashes and control characters escaped, all beyond ASCII as \\uXXXX, pairs beyond 16 bits."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    named = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+    def of(c: Column) -> Column:
+        # The code point, from UTF-32.
+        code = F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long")
+        out = F.when(code >= 0x10000, F.concat(unit(F.floor((code - 0x10000) / 1024) + 0xD800), unit((code - 0x10000) % 1024 + 0xDC00))).when((code < 32) | (code > 126), unit(code)).otherwise(c)
+        for raw, seen in named.items():
+            out = F.when(c == raw, seen).otherwise(out)
+        return out
+
+    plain = text.rlike(r'^[ !#-\[\]-~]*\z')
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.concat(F.lit('"'), F.when(plain, text).otherwise(F.array_join(F.transform(letters, of), "")), F.lit('"'))
+
+
+def canonical_json(value: Column, kind: T.DataType) -> Column:
+    """A value of any nesting of structs, maps with string keys, arrays, strings, whole numbers, booleans and nulls as JSON with sorted keys, no blanks, ASCII alone.
+
+    Fields that are null are written as null. Fractions are refused: engines don't agree on their digits, so hashes of them mean nothing.
+    """
+    if isinstance(kind, T.StructType):
+        parts = []
+        for k, f in enumerate(sorted(kind.fields, key=lambda f: f.name)):
+            parts += [F.lit(("," if k else "") + json.dumps(f.name) + ":"), canonical_json(value[f.name], f.dataType)]
+        out = F.when(value.isNotNull(), F.concat(F.lit("{"), *parts, F.lit("}")))
+    elif isinstance(kind, T.ArrayType):
+        out = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: canonical_json(x, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, T.MapType):
+        if not isinstance(kind.keyType, T.StringType):
+            raise TypeError("keys must be strings")
+        entries = F.array_sort(F.map_entries(value), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+        out = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(_escaped(e["key"]), F.lit(":"), canonical_json(e["value"], kind.valueType))), ","), F.lit("}"))
+    elif isinstance(kind, T.StringType):
+        out = _escaped(value)
+    elif isinstance(kind, (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        out = value.cast("string")
+    else:
+        raise TypeError(f"no canonical form for {kind.simpleString()}")
+    return F.coalesce(out, F.lit("null"))

@@ -21,6 +21,8 @@ CHAMBER, WEB, CONTOUR = "dfc.substructure.chamber", "dfc.substructure.internal_w
 NUMBER = r"[_\-\s]?(?:\d+|[a-h])$"
 HEURISTIC = r"\.(notch|fillet)$"
 NONE = "array<string>"
+#: What ``verify.reported`` adds.
+REPORTED = "validation struct<passed: boolean, gates: array<struct<gate: string, passed: boolean, value: double>>, failures: array<string>>, source_manifest array<struct<file: string, sha256: string>>, source_sha256 string"
 
 
 def _none() -> Column:
@@ -251,8 +253,8 @@ def generate(corpus: dict[str, DataFrame], regions: DataFrame, per_section: int
 
 
 def read_variants(spark, path: str) -> DataFrame:
-    """Attempts as ``augment.attempts`` gives them, from JSON lines written before."""
-    return spark.read.schema(f"{augment.VARIANT}, agreement double").json(path)
+    """Attempts as ``augment.attempts`` gives them, with reports and hashes where there are any, from JSON lines written before."""
+    return spark.read.schema(f"{augment.VARIANT}, agreement double, {REPORTED}").json(path)
 
 
 def families(meta: DataFrame, tried: DataFrame) -> DataFrame:

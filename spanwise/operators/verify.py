@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spanwise.functions.scalar import is_subset
+from spanwise.functions.scalar import canonical_json, is_subset
 from spanwise.operators.variants import accepted
 
 
@@ -16,16 +17,60 @@ def check(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.lit(name).alias("check_name"), F.count("*").alias("n"))
 
 
-def canonical(pairs: Column) -> Column:
-    """JSON of (file, sha256) pairs with sorted keys, no blanks, in the order of files: the text that a manifest's hash is taken of."""
-    one = lambda x: F.concat(F.lit('{"file":"'), x["file"], F.lit('","sha256":"'), x["sha256"], F.lit('"}'))
-    return F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(pairs), one), ","), F.lit("]"))
+#: What a manifest's hash is taken of.
+MANIFEST = T.ArrayType(T.StructType([T.StructField("file", T.StringType()), T.StructField("sha256", T.StringType())]))
 
 
 def manifest(files: DataFrame) -> DataFrame:
-    """(section_id, files, manifest_sha256) from the hashes of source files (section_id, file, sha256)."""
+    """(section_id, files, manifest_sha256) from the hashes of source files (section_id, file, sha256): the hash of their canonical JSON in the order of files."""
     per = files.groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("file", "sha256"))).alias("files"))
-    return per.withColumn("manifest_sha256", F.sha2(canonical(F.col("files")), 256))
+    return per.withColumn("manifest_sha256", F.sha2(canonical_json(F.col("files"), MANIFEST), 256))
+
+
+def source_files(spark: SparkSession, path: str) -> DataFrame:
+    """(section_id, file, sha256) of all files below a folder, by name, but those without a byte; a file's section is its folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    parts = F.split("path", "/")
+    return files.select(F.element_at(parts, -2).alias("section_id"), F.element_at(parts, -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+
+
+#: The gates in their order, by the start of the reason that a failing one leaves, with the figure that they look at.
+GATES = {"cells": "gate1", "non_empty": "gate2", "label_pairs": "gate3", "affine": "gate4", "fingerprint": "gate5", "clearance": "gate6"}
+REPORT = "struct<passed: boolean, gates: array<struct<gate: string, passed: boolean, value: double>>, failures: array<string>>"
+
+
+def reported(tried: DataFrame, files: DataFrame) -> DataFrame:
+    """tried with ``validation`` (REPORT) and the hashes of the source that each was made of: ``source_manifest`` and ``source_sha256``.
+
+    A gate before the one that failed was passed; one after it has null, as it was not asked. An edit that couldn't be applied has no gate at all.
+    """
+    names, starts = list(GATES), list(GATES.values())
+    failed = F.coalesce(*(F.when(F.col("reason").startswith(g), F.lit(k)) for k, g in enumerate(starts)), F.when(F.col("reason") == "ok", F.lit(len(starts))))
+    value = {"affine": F.col("agreement") if "agreement" in tried.columns else F.lit(None), "clearance": F.col("clearance")}
+    gates = F.array(*(F.struct(F.lit(n).alias("gate"), F.when(failed > k, True).when(failed == k, False).alias("passed"), value.get(n, F.lit(None)).cast("double").alias("value")) for k, n in enumerate(names)))
+    ok = F.col("reason") == "ok"
+    report = F.struct(ok.alias("passed"), gates.alias("gates"), F.when(ok, F.array().cast("array<string>")).otherwise(F.array("reason")).alias("failures")).cast(REPORT)
+    of = manifest(files).select("section_id", F.col("files").alias("source_manifest"), F.col("manifest_sha256").alias("source_sha256"))
+    return tried.withColumn("validation", report).join(of, "section_id", "left")
+
+
+def reports(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Checks of rows that ``reported`` made and someone may have changed: verdicts against gates and reasons, manifests against their hash, and hashes against the files of today."""
+    gates = F.transform("validation.gates", lambda g: g["passed"])
+    all_passed = F.forall(gates, lambda g: g.eqNullSafe(F.lit(True)))
+    ok = F.col("reason") == "ok"
+    own = F.sha2(canonical_json(F.col("source_manifest"), MANIFEST), 256)
+    now = manifest(files).select("section_id", F.col("manifest_sha256").alias("_now"))
+    checks = [
+        check(rows.where(~F.col("validation.passed").eqNullSafe(all_passed)), "verdict_against_gates"), check(rows.where(~F.col("validation.passed").eqNullSafe(ok)), "verdict_against_reason"),
+        check(rows.where((F.size("validation.failures") > 0).eqNullSafe(F.col("validation.passed"))), "verdict_against_failures"), check(rows.where(F.transform("validation.gates", lambda g: g["gate"]) != F.array(*map(F.lit, GATES))), "unknown_gate"),
+        check(rows.where(~own.eqNullSafe(F.col("source_sha256"))), "manifest_hash_mismatch"),
+        check(rows.join(now, "section_id", "left").where(~F.col("_now").eqNullSafe(F.col("source_sha256"))), "source_changed"),
+    ]
+    out = checks[0]
+    for c in checks[1:]:
+        out = out.unionByName(c)
+    return out
 
 
 def sources(now: DataFrame, recorded: DataFrame) -> DataFrame:

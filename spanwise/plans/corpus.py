@@ -120,7 +120,10 @@ def with_variants(corpus: dict[str, DataFrame], tried: DataFrame) -> tuple[dict[
 
 def augmented(corpus: dict[str, DataFrame], args: argparse.Namespace) -> None:
     tried, new, status = variants.generate(corpus, corpus["regions"], args.per_section, args.seed, args.quota)
-    reports.write_lines(variants.accepted(tried).orderBy("variant_id"), f"{args.out}/variants")
+    files_now = verify.source_files(tried.sparkSession, args.path)
+    reports.write_lines(verify.reported(variants.accepted(tried), files_now).orderBy("variant_id"), f"{args.out}/variants")
+    reports.write_lines(verify.manifest(files_now).drop("files"), f"{args.out}/manifest")
+    reports.write_lines(files_now, f"{args.out}/sources")
     reports.write_lines(new, f"{args.out}/variant_targets")
     reports.write_report({"Rejections": augment.accounting(tried), "Quota": status, "Clearance": augment.clearance_figures(tried), "Edits": verify.edit_counts(tried)}, f"{args.out}/augmentation")
 
@@ -133,11 +136,19 @@ def audited(corpus: dict[str, DataFrame], args: argparse.Namespace) -> None:
 
 
 def verified(corpus: dict[str, DataFrame], args: argparse.Namespace) -> DataFrame:
-    """All checks of written variants (--variants), and their replay with the same seed."""
-    tried = variants.read_variants(corpus["samples"].sparkSession, args.variants)
+    """All checks of a folder that augment wrote (--variants: its variants; beside them the hashes of its sources): records, counts, reports, sources, and their replay with the same seed."""
+    spark = corpus["samples"].sparkSession
+    written = cut(variants.read_variants(spark, args.variants))
+    tried = cut(written.drop("validation", "source_manifest", "source_sha256"))
     _, new = with_variants(corpus, tried)
     again, _, _ = variants.generate(corpus, corpus["regions"], args.per_section, args.seed, args.quota)
-    return verify.records(tried, new).unionByName(verify.replayed(tried, variants.accepted(again), ["variant_id", "fingerprint", "ops"]))
+    now, recorded = verify.source_files(spark, args.path), spark.read.schema("section_id string, file string, sha256 string").json(f"{str(args.variants).rstrip('/')}/../sources")
+    n = variants.accepted(again).agg(F.count("*").alias("n"), F.countDistinct("section_id").alias("s")).first()
+    parts = [verify.records(tried, new), verify.release(tried, n["n"], n["s"]), verify.reports(written, now), verify.sources(now, recorded), verify.replayed(tried, variants.accepted(again), ["variant_id", "fingerprint", "ops"])]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 if __name__ == "__main__":

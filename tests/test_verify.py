@@ -42,3 +42,62 @@ def test_sources(spark):
     m = {r.section_id: r.manifest_sha256 for r in verify.manifest(a).collect()}
     text = json.dumps([{"file": "s.py", "sha256": "1"}, {"file": "s.yaml", "sha256": "2"}], sort_keys=True, separators=(",", ":"))
     assert m["s"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_reports(spark):
+    """Reports and hashes survive writing and reading; every damage is found by its own check."""
+    cols = "section_id string, variant_id string, reason string, clearance double, agreement double"
+    rows = [("s", "s@1", "ok", 2.5, 0.99), ("s", "s@2", "gate4_affine", 3.0, 0.5), ("t", "t@1", "gate1_cells", 1.0, None), ("t", None, "move_not_applicable", None, None)]
+    files = spark.createDataFrame([("s", "s.py", "1"), ("s", "s.yaml", "2"), ("t", "t.py", "3")], "section_id string, file string, sha256 string")
+    made = verify.reported(spark.createDataFrame(rows, cols), files)
+    got = {r.variant_id: r for r in made.collect()}
+    assert [g.passed for g in got["s@1"].validation.gates] == [True] * 6 and got["s@1"].validation.failures == [] and got["s@1"].validation.gates[3].value == 0.99
+    assert [g.passed for g in got["s@2"].validation.gates] == [True, True, True, False, None, None] and got["s@2"].validation.failures == ["gate4_affine"]
+    assert [g.passed for g in got[None].validation.gates] == [None] * 6 and not got[None].validation.passed
+    assert [(f.file, f.sha256) for f in got["s@1"].source_manifest] == [("s.py", "1"), ("s.yaml", "2")]
+    schema = f"{cols}, {variants.REPORTED}"
+    back = cut(made.select(F.to_json(F.struct("*")).alias("j")).select(F.from_json("j", schema).alias("r")).select("r.*"))
+    assert set(counts(verify.reports(back, files)).values()) == {0}
+    v = F.col("validation")
+    first = F.col("variant_id") == "s@1"
+    damaged = {
+        "verdict_against_reason": back.withColumn("reason", F.when(first, "gate6_clearance").otherwise(F.col("reason"))),
+        "verdict_against_failures": back.withColumn("validation", F.when(first, v.withField("failures", F.array(F.lit("x")))).otherwise(v)),
+        "verdict_against_gates": back.withColumn("validation", F.when(first, v.withField("gates", F.transform(v["gates"], lambda g: g.withField("passed", F.lit(False))))).otherwise(v)),
+        "manifest_hash_mismatch": back.withColumn("source_manifest", F.when(first, F.slice("source_manifest", 1, 1)).otherwise(F.col("source_manifest"))),
+    }
+    for name, df in damaged.items():
+        assert counts(verify.reports(df, files))[name] == 1, name
+    changed = files.withColumn("sha256", F.when(F.col("file") == "t.py", "9").otherwise(F.col("sha256")))
+    assert counts(verify.reports(back, changed)) | {"source_changed": 2} == counts(verify.reports(back, changed))
+
+
+def test_source_files(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "a.py").write_bytes(b"x = 1\n")
+    (tmp_path / "a" / "a.yaml").write_bytes(b"\n")
+    got = {(r.section_id, r.file): r.sha256 for r in verify.source_files(spark, str(tmp_path)).collect()}
+    assert got == {("a", "a.py"): hashlib.sha256(b"x = 1\n").hexdigest(), ("a", "a.yaml"): hashlib.sha256(b"\n").hexdigest()}
+
+
+def test_canonical_json(spark):
+    """As Python's own, with sorted keys and no blanks, on what needs escaping and any nesting."""
+    import json
+
+    import pytest
+    from pyspark.sql import types as T
+
+    from spanwise.functions.scalar import canonical_json
+
+    schema = T._parse_datatype_string("z string, a struct<y: int, b: array<string>>, m map<string, array<struct<q: boolean, c: bigint>>>, n array<array<int>>")
+    odd = ['plain', '', 'q"uo\\te', 'tab\tnew\nline\r\b\f', 'é ñ 日本 \U0001f600', '\x00\x1f\x7f\x80', 'ends\n', "'</script>"]
+    rows = [(x, (k, [x, None, "b"]), {x: [(True, 1 << 60)], "k": [], "a": None}, [[1], None, []]) for k, x in enumerate(odd)] + [(None, None, None, None)]
+    got = [r.j for r in spark.createDataFrame(rows, schema).coalesce(1).select(canonical_json(F.struct("*"), schema).alias("j")).collect()]
+    dump = lambda v: json.dumps(v, sort_keys=True, separators=(",", ":"))
+    for (z, a, m, n), j in zip(rows, got, strict=True):
+        want = {"z": z, "a": a and {"y": a[0], "b": a[1]}, "m": m and {k: v and [{"q": q, "c": c} for q, c in v] if v else v for k, v in m.items()}, "n": n}
+        assert j == dump(want)
+    with pytest.raises(TypeError, match="double"):
+        canonical_json(F.lit(0.5), T.DoubleType())
