@@ -133,6 +133,25 @@ def graph_components(edges: DataFrame, a: str, b: str, key: Sequence[str] = (),
     return nodes.join(found, [*key, "node"], "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def descend(edges: DataFrame, roots: DataFrame, parent: str, child: str, key: Sequence[str] = (), max_depth: int = 30) -> tuple[DataFrame, DataFrame]:
+    """((key, root, node, level, n_paths), (key, root, node)): what each root reaches at each level and by how many paths, and where its paths still go on after max_depth levels, as those of a cycle do.
+
+    edges (key, parent, child): a row for each use, so equal rows are uses of their own. roots (key, root). Level by level: the nodes of one
+    level meet the edges on the parent and paths are added up by root and child, so a level has a row for each node it holds, however many
+    paths lead there. Edges are added up first, and levels are checkpointed.
+    """
+    key = list(key)
+    uses = cut(edges.groupBy(*key, F.col(parent).alias("node"), F.col(child).alias("_c")).agg(F.count("*").alias("_n")))
+    front = cut(roots.select(*key, "root", F.col("root").alias("node"), F.lit(1).cast("long").alias("n_paths")))
+    found = front.withColumn("level", F.lit(0))
+    for level in range(1, max_depth + 2):
+        front = cut(front.join(uses, [*key, "node"]).groupBy(*key, "root", F.col("_c").alias("node")).agg(F.sum(F.col("n_paths") * F.col("_n")).alias("n_paths")))
+        if level > max_depth or front.isEmpty():
+            break
+        found = found.unionByName(front.withColumn("level", F.lit(level)))
+    return found.select(*key, "root", "node", "level", "n_paths"), front.select(*key, "root", "node")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a checkpoint in the shared folder, for tables that many branches read."""
     _ensure_checkpoints(df)
