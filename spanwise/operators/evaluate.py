@@ -60,7 +60,7 @@ def fold_candidates(registry: Registry, tables: dict[str, DataFrame], families:
 
 
 def leave_one_family_out(samples: DataFrame, tables: dict[str, DataFrame], families: DataFrame, registry: Registry | None = None) -> DataFrame:
-    """Rows of all scorers and folds. tables: sections, points, curves, graph, curve_features, face_features; families (section_id, family, source_id if there are variants).
+    """Rows of all scorers and folds. tables: sections, points, curves, graph, curve_features, face_features; families (section_id, family, and source_id and ops, the edits' names, if there are variants).
 
     A fold trains on all families but one, with their variants, and answers the samples of that one. All folds' models are fitted at
     once, and a section's scores come from a join with those of its family's fold, so the plan doesn't grow with the families. Variants
@@ -74,7 +74,8 @@ def leave_one_family_out(samples: DataFrame, tables: dict[str, DataFrame], famil
     models = fitted(lines, len(CURVE_FEATURES), False), fitted(faces, len(FACE_FEATURES), False)
     scored = cut(fold_candidates(registry, tables, families, *models))
     out, queries = None, as_queries(samples)
-    split = families.select("section_id", F.when(F.col("section_id") == F.col("source_id"), "orig").otherwise("aug").alias("split"))
+    ops = F.col("ops") if "ops" in families.columns else F.lit("")
+    split = families.select("section_id", F.when(F.col("section_id") == F.col("source_id"), "orig").otherwise("aug").alias("split"), ops.alias("ops"))
     for scorer in SCORERS:
         one = scored.select("label_id", "section_id", "kind", "name", "ord", F.col(scorer).alias("score"), F.when(F.col("has_model"), scorer).otherwise("rules").alias("scorer"), F.array().cast("array<string>").alias("contributions"))
         answers = map_queries(queries, registry=registry, top_k=100, scored=one, ready=True, **tables)
@@ -84,8 +85,8 @@ def leave_one_family_out(samples: DataFrame, tables: dict[str, DataFrame], famil
 
 
 def summarise(rows: DataFrame) -> DataFrame:
-    """Means overall and by label, family, kind and entity type, per scorer, in one grouping-sets query. Null recalls are skipped, empty means 0."""
-    keys = ["label_id", "family", "kind", "entity_type", "split"]
+    """Means overall and by label, family, kind, entity type, split and edits, per scorer, in one grouping-sets query. Null recalls are skipped, empty means 0."""
+    keys = ["label_id", "family", "kind", "entity_type", "split", "ops"]
     mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4)
     return rows.groupingSets([["scorer"], *(["scorer", k] for k in keys)], "scorer", *keys).agg(F.count("*").alias("n"), *(mean(c).alias(c) for c in ("precision", "recall", "f1", "jaccard")), mean(F.col("exact").cast("double")).alias("exact_acc"), mean("cand_recall_at3").alias("cand_recall_at3"), mean("cand_recall_at20").alias("cand_recall_at20"))
 

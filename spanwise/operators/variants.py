@@ -258,10 +258,10 @@ def read_variants(spark, path: str) -> DataFrame:
 
 
 def families(meta: DataFrame, tried: DataFrame) -> DataFrame:
-    """(section_id, family, source_id): variants have their source's family."""
+    """(section_id, family, source_id, ops): variants have their source's family, and the names of their edits; originals have none."""
     of = meta.select("section_id", "family")
-    var = accepted(tried).select("section_id", "variant_id").join(of, "section_id").select(F.col("variant_id").alias("section_id"), "family", F.col("section_id").alias("source_id"))
-    return of.withColumn("source_id", F.col("section_id")).unionByName(var)
+    var = accepted(tried).select("section_id", "variant_id", F.array_join("edits", "+").alias("ops")).join(of, "section_id").select(F.col("variant_id").alias("section_id"), "family", F.col("section_id").alias("source_id"), "ops")
+    return of.withColumns({"source_id": F.col("section_id"), "ops": F.lit("")}).unionByName(var)
 
 
 def union_tables(corpus: dict[str, DataFrame], variant: dict[str, DataFrame], names: Sequence[str]) -> dict[str, DataFrame]:

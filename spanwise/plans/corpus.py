@@ -20,9 +20,10 @@ def build(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     Tables that many later ones read are checkpointed, not only cached: a plan that holds its readers' whole lineage several times
     over takes longer to analyse than its job to run.
     """
-    s, p, c = (cut(df) for df in sections.localised(*(cut(df) for df in sections.read_sections(spark, path))))
-    graph = cut(topology.graph(s, p, c))
     meta, regions = (cut(df) for df in files.read_annotations(spark, path))
+    named = meta.select("section_id").distinct()  # a folder without annotations, or with some that can't be read, is no section
+    s, p, c = (cut(df) for df in sections.localised(*(cut(df.join(named, "section_id", "left_semi")) for df in sections.read_sections(spark, path))))
+    graph = cut(topology.graph(s, p, c))
     targets = cut(silver.silver(s, p, c, graph, regions))
     t = {"sections": s, "points": p, "curves": c, "graph": graph, "curve_features": cut(features.curve_features(s, p, c, graph)), "face_features": cut(features.face_features(s, p, graph))}
     return {**t, "meta": meta, "regions": regions, "targets": targets, "samples": cut(silver.samples(targets, meta))}

@@ -80,7 +80,10 @@ def test_corpus_job(spark, tmp_path):
         d.mkdir(parents=True)
         (d / f"{name}.py").write_text(macro(name, *FIXTURES[name]))
         (d / f"{name}.yaml").write_text(YAML.format(name, k))
+    (tmp_path / "in" / "bare").mkdir()
+    (tmp_path / "in" / "bare" / "bare.py").write_text(macro("bare", *FIXTURES["ladder"]))
     c = corpus.build(spark, str(tmp_path / "in"))
+    assert {r.section_id for r in c["sections"].collect()} == {"ladder", "t_rung"}  # one without annotations is none
     assert {(r.section_id, r.region_name, tuple(r.curve_names)) for r in c["targets"].where("function = 'stiffener'").collect()} == {(n, "stiffener_a", ("R2",)) for n in ("ladder", "t_rung")}
     reports.write_lines(c["samples"], str(tmp_path / "samples"))
     assert files.read_samples(spark, str(tmp_path / "samples")).count() == c["samples"].count() > 0
