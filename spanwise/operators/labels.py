@@ -6,10 +6,11 @@ All steps are expressions over a table of queries, but for the last resort, a fu
 from __future__ import annotations
 
 import difflib
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The label registry (label, caption, entity type, functions, name patterns, aliases), position and ordinal words.
@@ -44,13 +45,27 @@ class Registry:
     """Labels in order; a few rows, so all look-ups are folded into expressions."""
 
     labels: tuple = tuple((a, b, c, tuple(d), tuple(e), tuple(f)) for a, b, c, d, e, f in LABELS)
+    positions: tuple = tuple((k, tuple(w)) for k, w in POSITIONS)
+    ordinals: tuple = tuple((k, tuple(w)) for k, w in ORDINALS)
 
     @staticmethod
     def from_yaml(text: str) -> Registry:
+        """A registry file's labels, and its position and ordinal words where it has them; positions are tried in the order of POSITIONS, others after."""
         import yaml
 
-        rows = yaml.safe_load(text)["labels"]
-        return Registry(tuple((r["label_id"], r.get("caption_zh", ""), r["entity_type"], tuple(r.get("functions") or ()), tuple(r.get("name_patterns") or ()), tuple(r.get("aliases") or ())) for r in rows))
+        body = yaml.safe_load(text)
+        rows = tuple((r["label_id"], r.get("caption_zh", ""), r["entity_type"], tuple(r.get("functions") or ()), tuple(r.get("name_patterns") or ()), tuple(r.get("aliases") or ())) for r in body["labels"])
+        places, numbers = body.get("position_words"), body.get("ordinal_words")
+        turn = {k: i for i, (k, _) in enumerate(POSITIONS)}
+        return Registry(
+            rows, Registry.positions if places is None else tuple((k, tuple(w or ())) for k, w in sorted(places.items(), key=lambda x: turn.get(x[0], len(turn)))),
+            Registry.ordinals if numbers is None else tuple((int(k), tuple(w or ())) for k, w in sorted(numbers.items(), key=lambda x: int(x[0]))),
+        )
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> Registry:
+        """From a file of a few rows in any store that Spark reads."""
+        return Registry.from_yaml(spark.read.text(path, wholetext=True).first().value)
 
     def aliases(self) -> list[tuple[str, str]]:
         """(alias, label), the longest first, in order among equals."""
@@ -78,33 +93,33 @@ class Registry:
         return F.coalesce(*(F.when(label == row[0], row[1]) for row in self.labels), label)
 
 
-def first_word(text: Column, groups: list[tuple]) -> Column:
+def first_word(text: Column, groups: Sequence[tuple]) -> Column:
     """The first group one of whose words is in the text."""
     low = F.lower(text)
-    return F.coalesce(*(F.when(_any(low, words), F.lit(k)) for k, words in groups))
+    return F.coalesce(F.lit(None), *(F.when(_any(low, words), F.lit(k)) for k, words in groups))
 
 
-def _any(low: Column, words: list[str]) -> Column:
+def _any(low: Column, words: Sequence[str]) -> Column:
     out = F.lit(False)
     for w in words:
         out = out | F.contains(low, F.lit(w.lower()))
     return out
 
 
-def selector(text: Column, compat: bool = False) -> dict[str, Column]:
+def selector(text: Column, compat: bool = False, registry: Registry | None = None) -> dict[str, Column]:
     """ordinal, count and position of a query.
 
     An ordinal such as 第二个 also reads as a count of two in the original grammar; with ``compat`` it still does, else an
     ordinal word takes its numeral out of the count.
     """
-    low = F.lower(text)
+    low, registry = F.lower(text), registry or Registry()
     # A word boundary in the sense that CJK letters are word characters.
     digits = F.regexp_extract(low, r"(?U)[_\-\s](\d+)\b", 1).try_cast("int")
     letter = F.regexp_extract(low, r"(?U)[_\-\s]([a-h])\b", 1)
-    ordinal = F.coalesce(digits, F.when(letter != "", F.ascii(letter) - 96), first_word(text, ORDINALS))
+    ordinal = F.coalesce(digits, F.when(letter != "", F.ascii(letter) - 96), first_word(text, registry.ordinals))
     token = F.regexp_extract(text if compat else F.regexp_replace(text, r"第[一二三四五六七八九\d]+\s*[道条根个处段]?", ""), r"([一两二三四五六七八九\d]+)\s*[道条根个处段]", 1)
     count = F.coalesce(*(F.when(token == k, F.lit(v)) for k, v in NUMERALS.items()), F.when(token.rlike(r"^\d+$"), token.try_cast("int")))
-    return {"ordinal": ordinal, "count": count, "position": first_word(text, POSITIONS)}
+    return {"ordinal": ordinal, "count": count, "position": first_word(text, registry.positions)}
 
 
 def resolve(queries: DataFrame, registry: Registry | None = None, compat: bool = False) -> DataFrame:
@@ -135,5 +150,5 @@ def resolve(queries: DataFrame, registry: Registry | None = None, compat: bool =
     out = out.withColumn("_fuzzy", fuzzy(F.when(F.coalesce("_exact", "_named", F.col("_alias.label")).isNull(), F.col("_low"))))
     kind = [("exact_label_id", F.col("_exact"), F.col("_low"), F.lit(1.0)), ("region_name", F.col("_named"), F.col("_base"), F.lit(1.0)), ("exact_alias", F.col("_alias.label"), F.col("_alias.alias"), F.lit(0.95)), ("fuzzy_alias", F.col("_fuzzy.label"), F.col("_fuzzy.alias"), F.round(0.5 + 0.4 * F.col("_fuzzy.ratio"), 3))]
     pick = lambda i: F.coalesce(*(F.when(k[1].isNotNull(), F.lit(k[0]) if i == 0 else k[i]) for k in kind))
-    out = out.withColumns({"evidence": pick(0), "label_id": pick(1), "matched": pick(2), "text_score": pick(3), **selector(F.trim("text"), compat)})
+    out = out.withColumns({"evidence": pick(0), "label_id": pick(1), "matched": pick(2), "text_score": pick(3), **selector(F.trim("text"), compat, registry)})
     return out.drop("_low", "_exact", "_named", "_base", "_alias", "_fuzzy")

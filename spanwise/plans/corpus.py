@@ -14,7 +14,7 @@ from spanwise.plans import reports
 from spanwise.sources import edges, files, sections
 
 
-def build(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def build(spark: SparkSession, path: str, registry: labels.Registry | None = None) -> dict[str, DataFrame]:
     """All tables of the sections below a folder.
 
     Tables that many later ones read are checkpointed, not only cached: a plan that holds its readers' whole lineage several times
@@ -24,9 +24,9 @@ def build(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     named = meta.select("section_id").distinct()  # a folder without annotations, or with some that can't be read, is no section
     s, p, c = (cut(df) for df in sections.localised(*(cut(df.join(named, "section_id", "left_semi")) for df in sections.read_sections(spark, path))))
     graph = cut(topology.graph(s, p, c))
-    targets = cut(silver.silver(s, p, c, graph, regions))
+    targets = cut(silver.silver(s, p, c, graph, regions, registry))
     t = {"sections": s, "points": p, "curves": c, "graph": graph, "curve_features": cut(features.curve_features(s, p, c, graph)), "face_features": cut(features.face_features(s, p, graph))}
-    return {**t, "meta": meta, "regions": regions, "targets": targets, "samples": cut(silver.samples(targets, meta))}
+    return {**t, "meta": meta, "regions": regions, "targets": targets, "samples": cut(silver.samples(targets, meta, registry))}
 
 
 def tables_of(corpus: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -46,14 +46,16 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--seed", type=int, default=1)
     parser.add_argument("--quota", type=int, default=0)
     parser.add_argument("--variants", help="folder of variants written by augment")
+    parser.add_argument("--labels", help="registry file of labels, position and ordinal words")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("spanwise").getOrCreate()
     if args.command == "extract":
         edges.write(spark, args.path, args.out)
         return 0
-    corpus = build(spark, args.path)
+    registry = labels.Registry.read(spark, args.labels) if args.labels else None
+    corpus = build(spark, args.path, registry)
     if args.command == "map":
-        return answer(spark, corpus, args.section, args.query, args.model, args.scorer)
+        return answer(spark, corpus, args.section, args.query, args.model, args.scorer, registry)
     steps = {
         "build": built, "train": lambda c, a: trained(c).save(f"{a.out}/model.json"), "eval": evaluated, "augment": augmented, "audit-features": audited,
         "export": lambda c, a: reports.write_lines(reports.bundle(*(c[k] for k in ("sections", "points", "curves", "graph")), c["targets"]), f"{a.out}/bundle"),
@@ -72,11 +74,11 @@ def trained(corpus: dict[str, DataFrame], mode: str = "logreg") -> models.Bank:
     return models.train(corpus["curve_features"], corpus["face_features"], corpus["samples"], mode=mode)
 
 
-def answer(spark: SparkSession, corpus: dict[str, DataFrame], section: str, query: str, model: str | None, scorer: str) -> int:
+def answer(spark: SparkSession, corpus: dict[str, DataFrame], section: str, query: str, model: str | None, scorer: str, registry: labels.Registry | None = None) -> int:
     """Print the answer to one query."""
     bank = models.Bank.load(model, scorer) if model else trained(corpus, scorer)
     asked = spark.createDataFrame([("q", section, query)], "query_id string, section_id string, text string")
-    for r in mapper.map_queries(asked, bank=bank, **tables_of(corpus)).toJSON().collect():
+    for r in mapper.map_queries(asked, bank=bank, registry=registry, **tables_of(corpus)).toJSON().collect():
         print(r)
     return 0
 
@@ -126,7 +128,7 @@ def augmented(corpus: dict[str, DataFrame], args: argparse.Namespace) -> None:
     reports.write_lines(verify.manifest(files_now).drop("files"), f"{args.out}/manifest")
     reports.write_lines(files_now, f"{args.out}/sources")
     reports.write_lines(new, f"{args.out}/variant_targets")
-    reports.write_report({"Rejections": augment.accounting(tried), "Quota": status, "Clearance": augment.clearance_figures(tried), "Edits": verify.edit_counts(tried)}, f"{args.out}/augmentation")
+    reports.write_report({"Rejections": augment.accounting(tried), "Quota": status, "Agreement": augment.agreement_figures(tried), "Clearance": augment.clearance_figures(tried), "Labels of variants": new.groupBy("label_id").agg(F.count("*").alias("n"), F.countDistinct("section_id").alias("n_variants")).orderBy("label_id"), "Edits": verify.edit_counts(tried)}, f"{args.out}/augmentation")
 
 
 def audited(corpus: dict[str, DataFrame], args: argparse.Namespace) -> None:

@@ -127,3 +127,19 @@ def test_model_round_trip(spark, tmp_path):
     bank.save(str(tmp_path / "model.json"))
     again = models.Bank.load(str(tmp_path / "model.json"), "hybrid")
     assert again.curves == bank.curves and again.face is None and again.mode == "hybrid"
+
+
+def test_registry_file(spark, tmp_path):
+    """Labels, position and ordinal words of a file; what it lacks is the default's."""
+    (tmp_path / "labels.yaml").write_text("""
+labels:
+- {label_id: x.hole, caption_zh: hole, entity_type: face, functions: [enclosed], name_patterns: [hole], aliases: [hole, opening]}
+position_words: {left: [port], top: [upper]}
+ordinal_words: {2: [second, 2nd], 1: [first]}
+""")
+    registry = labels.Registry.read(spark, str(tmp_path / "labels.yaml"))
+    asked = ["the second opening", "port hole", "upper port hole", "first hole on the left"]
+    got = {r.text: r for r in labels.resolve(spark.createDataFrame([(t,) for t in asked], "text string"), registry).collect()}
+    assert [(got[t].label_id, got[t].ordinal, got[t].position) for t in asked] == [("x.hole", 2, None), ("x.hole", None, "left"), ("x.hole", None, "top"), ("x.hole", 1, None)]
+    plain = labels.Registry.from_yaml("labels: []")
+    assert plain.positions == labels.Registry().positions and plain.ordinals == labels.Registry().ordinals
