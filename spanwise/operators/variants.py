@@ -252,9 +252,9 @@ def generate(corpus: dict[str, DataFrame], regions: DataFrame, per_section: int
     return tried, new, status
 
 
-def read_variants(spark, path: str) -> DataFrame:
-    """Attempts as ``augment.attempts`` gives them, with reports and hashes where there are any, from JSON lines written before."""
-    return spark.read.schema(f"{augment.VARIANT}, agreement double, {REPORTED}").json(path)
+def read_variants(spark, path: str, reports: bool = False) -> DataFrame:
+    """Attempts as ``augment.attempts`` gives them, from JSON lines written before; with ``reports`` also what ``verify.reported`` added."""
+    return spark.read.schema(f"{augment.VARIANT}, agreement double" + (f", {REPORTED}" if reports else "")).json(path)
 
 
 def families(meta: DataFrame, tried: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ def audited(corpus: dict[str, DataFrame], args: argparse.Namespace) -> None:
 def verified(corpus: dict[str, DataFrame], args: argparse.Namespace) -> DataFrame:
     """All checks of a folder that augment wrote (--variants: its variants; beside them the hashes of its sources): records, counts, reports, sources, and their replay with the same seed."""
     spark = corpus["samples"].sparkSession
-    written = cut(variants.read_variants(spark, args.variants))
+    written = cut(variants.read_variants(spark, args.variants, reports=True))
     tried = cut(written.drop("validation", "source_manifest", "source_sha256"))
     _, new = with_variants(corpus, tried)
     again, _, _ = variants.generate(corpus, corpus["regions"], args.per_section, args.seed, args.quota)
