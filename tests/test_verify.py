@@ -101,3 +101,24 @@ def test_canonical_json(spark):
         assert j == dump(want)
     with pytest.raises(TypeError, match="double"):
         canonical_json(F.lit(0.5), T.DoubleType())
+
+
+def test_verify_command(spark, tmp_path):
+    """What augment wrote verifies, replay included; a source that changed afterwards is found."""
+    import argparse
+
+    from spanwise.plans import corpus
+    from tests.fixtures import FIXTURES, macro
+    from tests.test_sources import YAML
+
+    folder = tmp_path / "in" / "ladder"
+    folder.mkdir(parents=True)
+    (folder / "ladder.py").write_text(macro("ladder", *FIXTURES["ladder"]))
+    (folder / "ladder.yaml").write_text(YAML.format("ladder", 0))
+    built = corpus.build(spark, str(tmp_path / "in"))
+    args = argparse.Namespace(path=str(tmp_path / "in"), out=str(tmp_path / "out"), per_section=2, seed=1, quota=0, variants=str(tmp_path / "out" / "variants"))
+    corpus.augmented(built, args)
+    (folder / "ladder.yaml").write_text(YAML.format("ladder", 0) + "# seen\n")
+    got = counts(corpus.verified(built, args))
+    n = variants.read_variants(spark, args.variants).count()
+    assert n > 0 and {k: v for k, v in got.items() if v} == {"source_hash_mismatch": 1, "source_changed": n}
