@@ -23,7 +23,8 @@ from spanwise.operators.relational import cut
 
 #: Most weight of a positive, deviation below which a feature is constant.
 MOST_CLASS_WEIGHT, CONSTANT = 12.0, 1e-9
-MAX_MODELS, PARTS, MAX_STEPS, SETTLED = 2000, 64, 50, 1e-9
+#: Models of a shard, parts of a model's sums, Newton steps at most; a move and a gradient that are none.
+MAX_MODELS, PARTS, MAX_STEPS, STILL, FLAT = 2000, 64, 100, 3e-8, 1e-9
 MODEL = "label string, fold string, mean array<double>, std array<double>, weights array<double>, n_pos long, n_neg long"
 
 
@@ -82,7 +83,7 @@ class Model:
         # A step of more than 4 in any weight is too far for the local curvature.
         move *= min(1.0, 4.0 / max(np.abs(move).max(), 1e-12))
         self.weights = self.weights - move
-        self.done = bool(np.abs(move).max() < SETTLED ** 0.5 * 1e-3 or np.abs(g).max() < SETTLED)
+        self.done = bool(np.abs(move).max() < STILL or np.abs(g).max() < FLAT)
 
     def row(self) -> tuple:
         return self.label, self.fold, self.mean.tolist(), self.std.tolist(), self.weights.tolist(), self.n_pos, self.n_neg
@@ -127,6 +128,8 @@ def fit(rows: DataFrame, d: int, whole: bool = False, l2: float = 0.5) -> DataFr
                 break
             for i, v in total_sums(rows, left).items():
                 left[i].step(v)
+        else:
+            raise RuntimeError(f"models did not settle in {MAX_STEPS} steps")
         return spark.createDataFrame([m.row() for m in models], MODEL)
 
     for r in starts(rows, d, whole).toLocalIterator():
