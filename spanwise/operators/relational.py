@@ -6,6 +6,7 @@ Order is data here: every operator that picks "first" takes an explicit order, n
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -113,8 +114,7 @@ def graph_components(edges: DataFrame, a: str, b: str, key: Sequence[str] = (),
     key = list(key)
     nodes = edges.select(*key, F.explode(F.array(a, b)).alias("node")).distinct()
     links = edges.select(*key, F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    _ensure_checkpoints(edges)
-    links = links.checkpoint()
+    links = cut(links)
     state = None
     for _ in range(max_rounds):
         both = links.unionByName(links.select(*key, F.col("v").alias("u"), F.col("u").alias("v")))
@@ -122,7 +122,7 @@ def graph_components(edges: DataFrame, a: str, b: str, key: Sequence[str] = (),
         large = both.join(least, [*key, "u"]).where("v > u").select(*key, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy(*key, "u").agg(F.min("v").alias("m"))
         joined = large.join(low, [*key, "u"])
-        links = joined.select(*key, "u", F.col("m").alias("v")).unionByName(joined.select(*key, F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
+        links = cut(joined.select(*key, "u", F.col("m").alias("v")).unionByName(joined.select(*key, F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
         now = links.agg(F.count("*"), F.expr(f"bit_xor(xxhash64({', '.join([*key, 'u', 'v'])}))")).first()
         if now == state:
             break
@@ -153,19 +153,27 @@ def descend(edges: DataFrame, roots: DataFrame, parent: str, child: str, key: Se
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the shared folder, for tables that many branches read."""
-    _ensure_checkpoints(df)
-    return df.checkpoint()
+    """df with its lineage cut: written to the shared folder and read back, for tables that many branches or rounds read.
 
-
-def _ensure_checkpoints(df: DataFrame) -> None:
-    """Checkpoints go where the session says; a folder is set only on one machine, as in tests."""
-    session, sc = df.sparkSession, df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        at = session.conf.get("spark.checkpoint.dir", None)
-        if not at and not sc.master.startswith("local["):
+    A checkpoint would keep the size that Spark estimates for the plan before, which a join multiplies, so that rounds which join a table
+    with itself get sizes of millions of digits; files have the size they have.
+    """
+    session = df.sparkSession
+    path = f"{_shared_dir(session)}/spanwise-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return session.read.schema(df.schema).parquet(path)
+
+
+def _shared_dir(session) -> str:
+    """The folder that the session says; it is set only on one machine, as in tests."""
+    sc = session.sparkContext
+    at = session.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at:
+        if not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="spanwise-"))
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spanwise-"))
+        at = sc.getCheckpointDir()
+    return at
 
 
 def class_of(n_branch: Column, n_end: Column, n_edges: Column) -> Column:

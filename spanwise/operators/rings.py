@@ -13,41 +13,30 @@ from spanwise.operators.relational import cut
 def cycles(successor: DataFrame, id_: str = "id", next_: str = "next", key: Sequence[str] = (), max_rounds: int = 60) -> DataFrame:
     """(key, id, cycle, place, size): the least id of each row's cycle, its place from there on, from 0, and the cycle's size.
 
-    Pointer jumping: in each round a row knows the least id among twice as many successors, and then how far the cycle's end is, so
+    Pointer jumping: in each round a row knows the least id among twice as many rows from itself on, and how far ahead it is, so
     the rounds grow with the logarithm of the longest cycle. Rounds are equal joins on ids, whose rows are as many as the table's, whatever the
-    cycles; each is checkpointed. The table must be a permutation of the ids of each key.
+    cycles; each is cut off from those before. The table must be a permutation of the ids of each key.
     """
     key = list(key)
     links = cut(successor.select(*key, F.col(id_).alias("id"), F.col(next_).alias("next")))
     odd = links.groupBy(*key, F.col("next").alias("id")).agg(F.count("*").alias("_in")).join(links.groupBy(*key, "id").agg(F.count("*").alias("_out")), [*key, "id"], "full_outer").where("_in is null or _out is null or _in <> 1 or _out <> 1")
     if not odd.isEmpty():
         raise ValueError("not a permutation: an id has no single successor and predecessor")
-    ahead = lambda df, **c: df.select(*key, F.col("id").alias("far"), *(F.col(x).alias(y) for x, y in c.items()))
-
-    state = links.select(*key, "id", F.col("next").alias("far"), F.least("id", "next").alias("least"))
-    state = cut(state)
+    # far: the row after the span of 2 ** round rows from id on; least: the least id of the span; ahead: how far it is.
+    state, span = links.select(*key, "id", F.col("next").alias("far"), F.col("id").alias("least"), F.lit(0).cast("long").alias("ahead")), 1
     for _ in range(max_rounds):
-        new = state.join(ahead(state, least="_least", far="_far"), [*key, "far"])
-        new = cut(new.select(*key, "id", F.col("_far").alias("far"), F.least("least", "_least").alias("least"), (F.col("_least") < F.col("least")).alias("moved")))
-        done = new.where("moved").isEmpty()
+        then = state.select(*key, F.col("id").alias("far"), F.col("far").alias("_far"), F.col("least").alias("_least"), F.col("ahead").alias("_ahead"))
+        moved = F.col("_least") < F.col("least")
+        new = state.join(then, [*key, "far"]).select(*key, "id", F.col("_far").alias("far"), F.least("least", "_least").alias("least"), F.when(moved, F.col("_ahead") + span).otherwise(F.col("ahead")).alias("ahead"), moved.alias("moved"))
+        new, span = cut(new), span * 2
         state = new.drop("moved")
-        if done:
+        if new.where("moved").isEmpty():
             break
     else:
         raise RuntimeError(f"cycles did not settle in {max_rounds} rounds")
-    # The row before the least one is the end; every other row counts the steps to it.
-    of = state.select(*key, "id", F.col("least").alias("cycle"))
-    rows = links.join(of, [*key, "id"])
-    rank = cut(rows.select(*key, "id", "cycle", F.when(F.col("next") != F.col("cycle"), F.col("next")).alias("far"), F.when(F.col("next") != F.col("cycle"), 1).otherwise(0).cast("long").alias("steps")))
-    for _ in range(max_rounds):
-        if rank.where("far is not null").isEmpty():
-            break
-        new = rank.join(ahead(rank, steps="_steps", far="_far"), [*key, "far"], "left")
-        rank = cut(new.select(*key, "id", "cycle", F.col("_far").alias("far"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")))
-    else:
-        raise RuntimeError(f"places did not settle in {max_rounds} rounds")
-    size = rank.groupBy(*key, "cycle").agg((F.max("steps") + 1).alias("size"))
-    return rank.join(size, [*key, "cycle"]).select(*key, "id", "cycle", (F.col("size") - 1 - F.col("steps")).alias("place"), "size")
+    size = state.groupBy(*key, F.col("least").alias("cycle")).agg((F.max("ahead") + 1).alias("size"))
+    rows = state.select(*key, "id", F.col("least").alias("cycle"), "ahead").join(size, [*key, "cycle"])
+    return rows.select(*key, "id", "cycle", F.when(F.col("ahead") == 0, 0).otherwise(F.col("size") - F.col("ahead")).alias("place"), "size")
 
 
 def half_edges(edges: DataFrame, nodes: DataFrame, key: Sequence[str] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanwise.functions import geometry as G
+from spanwise.operators import relational as R
 from spanwise.operators import rings, spatial
 
 
@@ -120,6 +121,17 @@ def test_cycles(spark):
         rings.cycles(spark.createDataFrame([("a", 1, 2), ("a", 2, 2)], "g string, id long, next long"), key=["g"])
 
 
+def test_rounds_keep_their_size(spark):
+    """What rounds join is as large as its files, not the product of all joins before: a cycle of 2^12 rows needs 13 rounds."""
+    n = 1 << 12
+    ring = spark.range(n).select("id", F.pmod(F.col("id") * 5 + 3, F.lit(n)).alias("next"))
+    found = rings.cycles(ring)
+    row = found.agg(F.count("*"), F.countDistinct("place"), F.min("size"), F.max("size"), F.max("cycle")).first()
+    assert tuple(row) == (n, n, n, n, 0)
+    both = R.cut(found.join(found.select("id", F.col("place").alias("p")), "id"))
+    assert int(str(both._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 40
+
+
 def test_faces(spark):
     """A 40 x 120 frame with two rungs, by joins: three faces of 1600 and the outer one."""
     uv = {"a": (0, 0), "b": (40, 0), "c": (40, 40), "d": (40, 80), "e": (40, 120), "f": (0, 120), "g": (0, 80), "h": (0, 40), "tip": (20, 20)}
