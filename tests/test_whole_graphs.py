@@ -1,10 +1,12 @@
 """The graph queries over whole tables, against a union-find and plain counts on a small fixture."""
 
+import random
 from collections import Counter, defaultdict
 
 import pytest
 
 from spanwise.contract.queries import QUERIES
+from spanwise.operators import relational as R
 
 SUPPLIERS = list(range(1, 31))
 ORDERS = [(k, 1 + k % 7, "OFP"[k % 3]) for k in range(1, 25)]
@@ -54,3 +56,12 @@ def test_topology_class(spark, folder):
     got = QUERIES["topology_class"](spark, folder).collect()
     assert {(r.g, r.n_edges, r.n_branch, r.n_end) for r in got} == want
     assert all(r["class"] == ("branched" if r.n_branch else "open" if r.n_end else "closed") for r in got)
+
+
+def test_components_of_small_and_large_keys(spark):
+    """Folded, in rounds or both: the same components; keys with a null end or key go the way of rounds."""
+    rng = random.Random(9)
+    rows = [(f"g{k % 5 if k % 3 else 0}", f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for k in range(160)] + [("g8", "x", None), (None, "x", "y"), ("g9", "x", "x")]
+    df = spark.createDataFrame(rows, "g string, a string, b string")
+    ways = [sorted(map(str, R.graph_components(df, "a", "b", ["g"], few=few).collect())) for few in (0, 25, 1000)]
+    assert ways[0] == ways[1] == ways[2] and len(ways[0]) > 100
