@@ -69,6 +69,27 @@ def test_all_crossings_come_once(spark, side):
     assert len(want) > 100
 
 
+def test_few_and_many_segments(spark):
+    """Keys on both sides of the limit give what a grid for all and pairs for all give; few segments make no cells."""
+    rows = [(f"g{k % 9 % 4}", *x[1:]) for k, x in enumerate(made_segments(random.Random(8), 300))]
+    df, none = spark.createDataFrame(rows, SEGMENT), spark.createDataFrame([], "g string, id_a long, id_b long")
+    sides, ways = [], (0, 40, 90, 1000)
+    for few in ways:
+        crossed = sorted((r.g, r.id_a, r.id_b, round(r.u, 6)) for r in spatial.crossings(df, "id", 2.0, 2.0, ["g"], few=few).collect())
+        clear = sorted((r.g, r.id_a, r.id_b, r.clearance) for r in spatial.clearances(df, none, "id", ["g"], few=few).collect())
+        sides.append((crossed, clear))
+    assert all(x == sides[0] for x in sides) and len(sides[0][0]) > 50 and len(sides[0][1]) == 4
+
+
+def test_crowded_cells_send_rows_by_both_sides(spark):
+    """Twice the rows of a cell are no more than twice the copies of each row, on both sides, and no pair is lost."""
+    df = spark.range(1200).select("id", F.lit(1).alias("i"))
+    both = spatial.cell_join(df, df.select("i", F.col("id").alias("other")), ["i"], "id", most=300)
+    assert both.distinct().count() == both.count() == 1200 * 1200
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("_row") and plan.count("_col")
+
+
 def distance(a, b):
     if crossing(a, b):
         return 0.0
