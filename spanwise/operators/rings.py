@@ -103,3 +103,71 @@ def greedy_matching(edges: DataFrame, a: str, b: str, order: Sequence[str], key:
             left = left.join(used[c].withColumnRenamed("_x", c), [*key, c], "left_anti")
         left = cut(left.select(*cols))
     raise RuntimeError(f"the matching did not end in {max_rounds} rounds")
+
+
+def _nearest(own: DataFrame, others: DataFrame, limit, key: list[str]) -> DataFrame:
+    """own (key, v, first) with d, the distance to the nearest value of others, to, the one or two values at it as (first, v), for those that have one within the limit.
+
+    Windows run over cells as wide as the limit; others are put into three each.
+    """
+    cell = F.floor(F.col("v") / limit).cast("long")
+    mine = own.select(*key, cell.alias("_cell"), "v", F.lit(1).alias("_own"), "first")
+    rows = mine.unionByName(others.select(*key, F.explode(F.sequence(cell - 1, cell + 1)).alias("_cell"), "v", F.lit(0).alias("_own"), "first"))
+    part = Window.partitionBy(*key, "_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    other = F.when(F.col("_own") == 0, F.struct("first", "v"))
+    rows = rows.select("*", F.last(other, True).over(part.orderBy("v", "_own")).alias("_lo"), F.last(other, True).over(part.orderBy(F.desc("v"), F.desc("_own"))).alias("_hi"))
+    lo, hi = F.col("v") - F.col("_lo.v"), F.col("_hi.v") - F.col("v")
+    found = rows.where("_own = 1").withColumn("d", F.least(lo, hi)).where(F.col("d") <= limit)
+    to = F.array_compact(F.array(F.when(lo == F.col("d"), F.col("_lo")), F.when(hi == F.col("d"), F.col("_hi"))))
+    return found.select(*key, "v", "first", "d", to.alias("to"))
+
+
+def nearest_matching(left: DataFrame, right: DataFrame, limit, key: Sequence[str], max_rounds: int = 200) -> DataFrame:
+    """(key, a, b, d): what ``greedy_matching`` makes of all pairs of left (key, a, v) and right (key, b, v) that are at most ``limit`` apart, nearest first, without making the pairs.
+
+    A round holds each value against the nearest ones of the other side. Where two values are nearest to each other and to no third, their ids
+    are the next pairs of the loop, in turn; so they are where one value lies between two that are nearest to it alone. At longer chains of equal distances,
+    a pair is taken if it is the first of both its ends. Rounds read rows as many as the table has, each with a neighbour on either side. An id
+    with several values would be found in several places at once; keys that have one go by their pairs.
+    """
+    key = list(key)
+    free, odd = {}, None
+    for s, df in (("a", left), ("b", right)):
+        free[s] = cut(df.select(*key, s, "v").dropna().distinct())
+        again = free[s].groupBy(*key, s).agg(F.count("*").alias("_n")).where("_n > 1").select(*key)
+        odd = again if odd is None else odd.union(again)
+    odd, taken = cut(odd.distinct()), None
+    if not odd.isEmpty():
+        cell = F.floor(F.col("v") / limit).cast("long")
+        some = {s: free[s].join(odd, key, "left_semi") for s in "ab"}
+        free = {s: cut(free[s].join(odd, key, "left_anti")) for s in "ab"}
+        near = some["b"].select(*key, "b", F.col("v").alias("_v"), F.explode(F.sequence(cell - 1, cell + 1)).alias("_cell"))
+        pairs = some["a"].withColumn("_cell", cell).join(near, [*key, "_cell"]).select(*key, "a", "b", F.abs(F.col("v") - F.col("_v")).alias("d"))
+        taken = greedy_matching(pairs.where(F.col("d") <= limit), "a", "b", ["d"], key, max_rounds=max_rounds)
+    for _ in range(max_rounds):
+        group = {s: free[s].groupBy(*key, "v").agg(F.min(s).alias("first")) for s in "ab"}
+        best = {s: cut(_nearest(group[s], group[o], limit, key)) for s, o in ("ab", "ba")}
+        ends = {}
+        for s, o in ("ab", "ba"):
+            to = best[s].select(*key, F.col("v").alias(f"v{s}"), F.col("first").alias(s), (F.size("to") > 1).alias(f"tie_{s}"), F.array_min("to")["v"].alias("_v"), "d", F.explode("to").alias("_to"))
+            ends[s] = to.select(*key, f"v{s}", F.col("_to.v").alias(f"v{o}"), s, f"tie_{s}", (F.col("_v") == F.col("_to.v")).alias(f"first_{s}"), *(["d"] if s == "a" else []))
+        edges = ends["a"].join(ends["b"], [*key, "va", "vb"])
+        for s, o in ("ab", "ba"):
+            w = Window.partitionBy(*key, f"v{s}")
+            edges = edges.withColumns({f"n_{s}": F.count("*").over(w), f"tied_{s}": F.max(f"tie_{o}").over(w)})
+        among = {s: F.expr(f"tie_{s} and n_{s} = 2 and not tied_{s}") for s in "ab"}
+        whole = F.when(among["a"] | F.expr("not tie_a and not tie_b"), F.struct(F.lit("a").alias("s"), F.col("va").alias("v"))).when(among["b"], F.struct(F.lit("b").alias("s"), F.col("vb").alias("v")))
+        edges = cut(edges.withColumn("whole", whole))
+        # Ids in turn, on both sides of what goes together.
+        turns = {}
+        for s in "ab":
+            at = edges.where("whole is not null").select(*key, F.col(f"v{s}").alias("v"), "whole", *(["d"] if s == "a" else [])).distinct()
+            turns[s] = free[s].join(at, [*key, "v"]).withColumn("_turn", F.row_number().over(Window.partitionBy(*key, "whole").orderBy(s))).drop("v")
+        single = edges.where("whole is null and first_a and first_b").select(*key, "a", "b", "d")
+        new = cut(turns["a"].join(turns["b"], [*key, "whole", "_turn"]).select(*key, "a", "b", "d").unionByName(single))
+        if new.isEmpty():
+            return new if taken is None else taken.unionByName(new)
+        taken = new if taken is None else taken.unionByName(new)
+        # What has nothing near will never have.
+        free = {s: cut(free[s].join(best[s].select(*key, "v"), [*key, "v"], "left_semi").join(new.select(*key, s), [*key, s], "left_anti")) for s in "ab"}
+    raise RuntimeError(f"the matching did not end in {max_rounds} rounds")

@@ -194,3 +194,31 @@ def test_clipping(spark):
     for k, p, *box in rows:
         poly = [(q["u"], q["v"]) for q in p]
         assert math.isclose(got[k], G.polygon_rect_iou(poly, tuple(box)) if poly else 0.0, abs_tol=1e-12)
+
+
+def test_nearest_matching(spark, monkeypatch):
+    """The same as the loop over all pairs, with copies, equal distances on both sides and an id with two values; the pairs aren't made."""
+    rng = random.Random(2)
+    values = [50 * k + rng.randrange(20) for k in range(8)]
+    left = [("x", 10 * c + k, v) for c in range(5) for k, v in enumerate(values)] + [("x", 99, None), (None, 98, 3), ("z", 1, 5)]
+    right = [("x", 10 * c + k, values[k] + d) for c in range(3) for k, d in enumerate([0, 3, -4, 9, 0, 20, 5])] + [("z", 1, 100), ("z", 2, 9), ("z", 3, 1)]
+    # Two values at one distance of a third, and a chain of equal distances.
+    left += [("x", 200 + k, v) for k, v in enumerate([900, 900, 900, 1010, 1002, 1006])]
+    right += [("x", 200 + k, v) for k, v in enumerate([903, 897, 897, 1000, 1004, 1008, 1004])]
+
+    def loop(left, right):
+        used, out = set(), []
+        for d, g, a, b in sorted((abs(v - w), g, a, b) for g, a, v in left for h, b, w in right if g == h and None not in (g, v, w) and abs(v - w) <= 25):
+            if not {(g, "a", a), (g, "b", b)} & used:
+                used |= {(g, "a", a), (g, "b", b)}
+                out.append((g, a, b, d))
+        return sorted(out)
+
+    def found(left, right):
+        df = lambda rows, c: spark.createDataFrame(rows, f"g string, {c} long, v int").withColumn("v", F.col("v").cast("decimal(18,4)")).coalesce(1)
+        return sorted((r.g, r.a, r.b, int(r.d)) for r in rings.nearest_matching(df(left, "a"), df(right, "b"), 25, ["g"]).collect())
+
+    twice = [("x", 1, 10), ("x", 1, 40), ("x", 2, 12), ("z", 1, 5)]
+    assert found(twice, right) == loop(twice, right)
+    monkeypatch.setattr(rings, "greedy_matching", None)
+    assert found(left, right) == loop(left, right)
