@@ -549,3 +549,14 @@ def test_quality_classifier(spark, docs_of):
     rate = sum(y.values()) / 240
     assert all(abs(by[d]["path_rate"] - rate) < 0.25 for d in range(240))
     assert quality_classifier.quality(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_large_star_gives_shared_shingles_only(spark):
+    """Of a star of 700 short texts, what only one of them has beyond the centre isn't given out; what two have is."""
+    words = [f"w{k}" for k in range(30)]
+    text = lambda n: " ".join([*words, f"own{n}", *(["both", "have", "these", "five", "words"] if n in (5, 600) else [])])
+    texts = spark.createDataFrame([(0, " ".join(words)), *((n, text(n)) for n in range(1, 701))], "node long, text string").coalesce(1)
+    total = sum(len(text(n).split()) - 4 for n in range(1, 701))
+    pairs = spark.createDataFrame([(0, n, 26, 700, total) for n in range(1, 701)], "a long, b long, least long, k long, total long").coalesce(1)
+    got = bagminhash.verify(pairs, texts, 0.8).where("size(beyond) > 0").collect()
+    assert sorted(r.b for r in got) == [5, 600] and {len(r.beyond) for r in got} == {1}
