@@ -137,6 +137,35 @@ def test_bagminhash_estimates_weighted_jaccard():
     assert abs(got - want) < 4 * math.sqrt(want * (1 - want) / 3000)
 
 
+def test_bagminhash_points(monkeypatch):
+    """Registers hold the first points below the weights, drawn one by one; all are drawn in a few rounds."""
+    mix, u, m = bagminhash.mix64, np.uint64, 40
+    one = lambda x: int(mix(np.array([x], u))[0])
+    for counts in ([1] * 30, [1, 5, 2, 9, 1, 3], [1]):
+        h = np.random.default_rng(len(counts)).integers(0, 2**63, len(counts)).astype(u)
+        first = {}
+        for x, c in zip(map(int, h), counts, strict=True):
+            for j in range(c.bit_length() + 1):
+                if j and (1 << (j - 1)) >= c:
+                    break
+                key, length, low = (one(x + j), 1 << (j - 1), 1 << (j - 1)) if j else (x, 1, 0)
+                at = 0.0
+                for i in range(1, 600):
+                    r = one((key + int(bagminhash._STEP) * i) % 2**64)
+                    at -= math.log(((r >> 11) + 0.5) / 2.0**53) / (m * length)
+                    r2 = one(r ^ int(bagminhash._M1))
+                    if low + length * ((r2 & 0xFFFFFFFF) / 2.0**32) < c:
+                        reg = (r2 >> 32) % m
+                        first[reg] = min(first.get(reg, (math.inf, 0)), (at, r2))
+        got = bagminhash.signature(h, np.array(counts), m)
+        assert [int(x) for x in got] == [first[reg][1] for reg in range(m)]
+    drawn = []
+    monkeypatch.setattr(bagminhash, "mix64", lambda x: [drawn.append(x.size), mix(x)][1])
+    bagminhash.signature(np.random.default_rng(1).integers(0, 2**63, 250).astype(u), np.ones(250, int), 352)
+    # 2268 points fill 352 registers on average; each is mixed twice.
+    assert sum(drawn) < 5 * 2268 and len(drawn) <= 6, drawn
+
+
 def classes(rows):
     """{row number: members} by exact multiset similarity of all pairs."""
     bags = []
