@@ -29,6 +29,21 @@ def test_all_near_pairs_come_once(spark):
     assert spatial.within(df.limit(0), "id", "u", "v", 1.0).collect() == []
 
 
+def test_points_at_one_place_travel_together(spark, monkeypatch):
+    """Many points at few places, some with equal ids, zeros of both signs: all pairs come once, and each place meets its neighbours once for up to so many of its points."""
+    rows = [("g", k if k % 50 else 7, float(k % 4), -0.0 if k % 3 else 0.0) for k in range(240)] + [("g", None, 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "g string, id long, u double, v double").repartition(5)
+    from collections import Counter
+
+    of = [r for r in rows if r[1] is not None]
+    want = Counter((min(a[1], b[1]), max(a[1], b[1])) for n, a in enumerate(of) for b in of[:n] if a[1] != b[1] and abs(a[2] - b[2]) <= 1.0)
+    sent, join = [], spatial.cell_join
+    monkeypatch.setattr(spatial, "cell_join", lambda left, right, *how: [sent.append((left.count(), right.count())), join(left, right, *how)][1])
+    for most, n in ((spatial.MOST, 4), (200, 24)):
+        assert Counter((r.id_a, r.id_b) for r in spatial.within(df, "id", "u", "v", 1.0, ["g"], most=most).collect()) == want
+        assert sent[-1][1] <= n and sent[-1][0] <= 6 * n
+
+
 def test_crowded_cells_spread(spark):
     """One cell with all rows is as many parts as it needs."""
     df = spark.range(900).select("id", F.lit(0.5).alias("u"), F.lit(0.5).alias("v"), F.lit(1).alias("i"))
